@@ -166,8 +166,8 @@ SELECT rt.route_id, rt.station_code, rt.route_date, departure_time_utc, departur
   delivery_haversine_distance_km, total_travel_time_seconds,
   round(total_travel_time_seconds + total_planned_service_time_seconds, 6)
     AS route_duration_seconds,
-  round(round(total_travel_time_seconds + total_planned_service_time_seconds, 6) / 3600, 6)
-    AS route_duration_hours,
+  CAST(round(CAST(CAST(round(total_travel_time_seconds + total_planned_service_time_seconds, 6)
+    / 3600 AS VARCHAR) AS DECIMAL(38, 18)), 6) AS DOUBLE) AS route_duration_hours,
   temperature_2m_max_c, temperature_2m_min_c, temperature_2m_mean_c, apparent_temperature_max_c,
   apparent_temperature_min_c, precipitation_sum_mm, rain_sum_mm, snowfall_sum_cm, weather_code,
   wind_speed_10m_max_kmh, wind_gusts_10m_max_kmh, year, month, day, weekday, weekday_name,
