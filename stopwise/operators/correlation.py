@@ -4,7 +4,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 MOMENTS = ["n", "sx", "sy", "sxx", "syy", "sxy"]
@@ -58,6 +58,15 @@ def correlations(df: DataFrame, columns: list[str]) -> DataFrame:
     )
 
 
+def pair_corr(x: Column, y: Column) -> Column:
+    """Pearson aggregate, null when a side does not vary. The built-in one divides by zero there
+    in ANSI mode."""
+    both = x.isNotNull() & y.isNotNull()
+    x, y = F.when(both, x.cast("double")), F.when(both, y.cast("double"))
+    sx, sy = F.stddev_pop(x), F.stddev_pop(y)
+    return F.when((sx > 0) & (sy > 0), F.covar_pop(x, y) / (sx * sy))
+
+
 def top_correlations(df: DataFrame, columns: list[str], k: int) -> DataFrame:
     found = correlations(df, columns).filter("r IS NOT NULL")
     return found.orderBy(F.abs("r").desc(), "a", "b").limit(k)
@@ -65,9 +74,8 @@ def top_correlations(df: DataFrame, columns: list[str], k: int) -> DataFrame:
 
 def correlated_with(df: DataFrame, columns: list[str], target: str) -> DataFrame:
     """(column, r) of each column with one target: k built-in aggregates, one pass."""
-    wide = df.agg(*[F.corr(F.col(c).cast("double"), F.col(target)).alias(c) for c in columns])
-    found = wide.unpivot([], columns, "column", "r")
-    return found.select("column", F.when(~F.isnan("r"), F.col("r")).alias("r"))
+    wide = df.agg(*[pair_corr(F.col(c), F.col(target)).alias(c) for c in columns])
+    return wide.unpivot([], columns, "column", "r")
 
 
 def vif(df: DataFrame, columns: list[str], threshold: float = 5.0) -> DataFrame:

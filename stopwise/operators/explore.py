@@ -4,6 +4,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from stopwise.functions import scalars
+from stopwise.operators.correlation import pair_corr
 from stopwise.operators.quality import beside, value_frequencies
 from stopwise.operators.ranks import long_form, percentiles
 
@@ -226,7 +227,7 @@ def simpson_check(
     inside = (
         d.groupBy(group)
         .agg(
-            F.corr("x", "y").alias("r"),
+            pair_corr(F.col("x"), F.col("y")).alias("r"),
             F.count("*").alias("n"),
             F.min("x").alias("lo"),
             F.max("x").alias("hi"),
@@ -234,7 +235,7 @@ def simpson_check(
         .filter((F.col("n") > min_rows) & (F.col("lo") < F.col("hi")))
         .agg(F.avg("r").alias("mean_within"), F.count("*").alias("groups"))
     )
-    return beside(d.agg(F.corr("x", "y").alias("overall")), inside)
+    return beside(d.agg(pair_corr(F.col("x"), F.col("y")).alias("overall")), inside)
 
 
 def rain_effect(df: DataFrame) -> DataFrame:

@@ -3,6 +3,8 @@
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from stopwise.operators.correlation import pair_corr
+
 X, Y, POP = "segment_distance_km", "travel_time_seconds", "is_depot_segment"
 
 
@@ -21,9 +23,9 @@ def distance_time_fit(df: DataFrame) -> DataFrame:
     fit = df.rollup(POP).agg(
         F.regr_slope(Y, X).alias("slope"),
         F.regr_intercept(Y, X).alias("intercept"),
-        F.corr(Y, X).alias("r"),
+        pair_corr(F.col(Y), F.col(X)).alias("r"),
         F.regr_r2(Y, X).alias("r2"),
-        (F.sum(X) / F.sum(Y) * 3600).alias("implied_kmh"),
+        F.when(F.sum(Y) > 0, F.sum(X) / F.sum(Y) * 3600).alias("implied_kmh"),
         F.count("*").alias("n"),
     )
     own = fit.filter(F.col(POP).isNotNull()).select(POP, "slope", "intercept")

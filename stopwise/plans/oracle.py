@@ -229,6 +229,153 @@ FROM (
     USING (route_id)""")
 
 
+def half_up(x: str, digits: int) -> str:
+    """Round the printed decimal, so that halves go up in both engines."""
+    return (
+        f"CAST(round(CAST(CAST({x} AS VARCHAR) AS DECIMAL(38, 15)), {digits}) AS DOUBLE)"
+    )
+
+
+_cte("rl", "g_seg", "SELECT DISTINCT route_id FROM g_seg")
+
+_cte("split_", "rl", """
+SELECT route_id, CASE WHEN row_number() OVER (ORDER BY md5('7:' || route_id)) <=
+  greatest(1, CAST(floor(0.2::DOUBLE * (SELECT count(*) FROM rl)) AS BIGINT)) THEN 1 ELSE 0 END
+  AS is_test FROM rl""")
+
+MODEL = (
+    "route_id, travel_time_seconds, is_depot_segment, segment_distance_km,"
+    " coalesce(same_zone, 0) AS same_zone, segment_position, cumulative_distance_km,"
+    " packages_at_destination, service_time_at_destination_seconds, volume_at_destination_cm3,"
+    " packages_with_window_at_destination, departure_hour, route_total_stops,"
+    " route_package_count, weekday, station_code, coalesce(to_zone_id, 'SIN_ZONA') AS to_zone_id"
+)
+
+_cte("mrows", "g_seg split_", f"SELECT {MODEL}, is_test FROM g_seg JOIN split_ USING (route_id)")
+
+_cte("train", "mrows", "SELECT * EXCLUDE (is_test) FROM mrows WHERE is_test = 0")
+
+_cte("folds", "train", """
+SELECT route_id, segments, CAST(CASE WHEN (k - 1) % 10 < 5 THEN (k - 1) % 10 + 1
+  ELSE 10 - (k - 1) % 10 END AS INT) AS fold
+FROM (SELECT *, row_number() OVER (ORDER BY segments DESC, md5(route_id)) AS k
+  FROM (SELECT route_id, count(*) AS segments FROM train GROUP BY 1) a) b""")
+
+_cte("tf", "train folds", """
+SELECT train.*, fold FROM train JOIN folds USING (route_id)""")
+
+
+def coef_cte(rows: str) -> str:
+    """Baseline parameters per (fold, population), trained on the other folds of ``rows``."""
+    xy = "travel_time_seconds, segment_distance_km"
+    return f"""
+SELECT a.fold, p.is_depot_segment, mean, rate, slope_all, icpt_all, slope, icpt
+FROM (SELECT f.fold, avg(travel_time_seconds) AS mean,
+    sum(travel_time_seconds) / sum(segment_distance_km) AS rate, regr_slope({xy}) AS slope_all,
+    regr_intercept({xy}) AS icpt_all
+  FROM (SELECT DISTINCT fold FROM {rows}) f JOIN {rows} t ON t.fold <> f.fold GROUP BY 1) a
+JOIN (SELECT f.fold, is_depot_segment, regr_slope({xy}) AS slope, regr_intercept({xy}) AS icpt
+  FROM (SELECT DISTINCT fold FROM {rows}) f JOIN {rows} t ON t.fold <> f.fold GROUP BY 1, 2) p
+  USING (fold)"""
+
+
+PREDICT = (
+    "mean AS B0, segment_distance_km * rate AS B1,"
+    " greatest(0, slope_all * segment_distance_km + icpt_all) AS B2,"
+    " greatest(0, slope * segment_distance_km + icpt) AS B3"
+)
+
+_cte("coef", "tf", coef_cte("tf"))
+
+_cte("bp", "tf coef", f"""
+SELECT tf.*, {PREDICT} FROM tf JOIN coef USING (fold, is_depot_segment)""")
+
+_cte("oof_", "bp", """
+SELECT route_id, station_code, segment_position, route_total_stops, departure_hour, weekday,
+  same_zone, segment_distance_km, is_depot_segment, travel_time_seconds, fold, B3 AS prediction,
+  travel_time_seconds - B3 AS residual FROM bp""")
+
+_cte("line", "train", """
+SELECT is_depot_segment, regr_slope(travel_time_seconds, segment_distance_km) AS slope,
+  regr_intercept(travel_time_seconds, segment_distance_km) AS icpt FROM train GROUP BY 1""")
+
+_cte("hold", "g_seg split_", """
+SELECT g_seg.* FROM g_seg JOIN split_ USING (route_id) WHERE is_test = 1""")
+
+_cte("scored", "hold line", """
+SELECT hold.*, greatest(0, slope * segment_distance_km + icpt) AS prediction
+FROM hold JOIN line USING (is_depot_segment)""")
+
+_cte("profile", "train", """
+SELECT station_code, segments, """ + ", ".join(
+    f"[{', '.join(f'quantile_cont({c}, {p})' for p in (0.1, 0.25, 0.5, 0.75, 0.9))}] AS {c}"
+    for c in ("packages_at_destination", "service_time_at_destination_seconds",
+              "volume_at_destination_cm3", "packages_with_window_at_destination")
+) + """, any_value(zones) AS zones_seen
+FROM train JOIN (SELECT station_code, count(*) AS segments FROM train GROUP BY 1) n
+    USING (station_code)
+  LEFT JOIN (SELECT station_code, list(to_zone_id ORDER BY k) AS zones FROM (
+      SELECT station_code, to_zone_id, row_number() OVER (PARTITION BY station_code
+        ORDER BY count(*) DESC, to_zone_id) AS k FROM train GROUP BY 1, 2) a
+    WHERE k <= 50 GROUP BY 1) z USING (station_code)
+GROUP BY station_code, segments""")
+
+_cte("depots", "g_seg split_", """
+SELECT station_code, avg(from_lat) AS depot_lat, avg(from_lng) AS depot_lng
+FROM g_seg JOIN split_ USING (route_id) WHERE is_depot_segment = 1 AND is_test = 0 GROUP BY 1""")
+
+_cte("planned", "g_seg", """
+SELECT route_id, station_code, segment_position AS position, to_stop_id AS stop_id, to_lat AS lat,
+  to_lng AS lng, CASE WHEN n % 3 <> 0 THEN to_zone_id END AS to_zone_id, packages_at_destination,
+  CASE WHEN n % 2 <> 0 THEN service_time_at_destination_seconds END AS service,
+  CASE WHEN n % 2 <> 0 THEN volume_at_destination_cm3 END AS volume,
+  CASE WHEN n % 2 <> 0 THEN CAST(packages_with_window_at_destination AS DOUBLE) END AS windowed,
+  departure_hour, weekday
+FROM (SELECT *, CAST(substr(to_stop_id, 2) AS BIGINT) AS n FROM g_seg) t""")
+
+
+def pick(values: str, field: str) -> str:
+    number = (f"CAST('0x' || substr(md5('7:' || route_id || ':' || stop_id || ':{field}'), 1, 6)"
+              " AS BIGINT)")
+    return f"{values}[{number} % len({values}) + 1]"
+
+
+_cte("pfill", "planned profile depots", f"""
+SELECT p.route_id, p.station_code, position, stop_id, lat, lng,
+  coalesce(p.to_zone_id, {pick("zones_seen", "to_zone_id")}, 'SIN_ZONA') AS to_zone_id,
+  p.packages_at_destination,
+  coalesce(service, {pick("f.service_time_at_destination_seconds",
+                          "service_time_at_destination_seconds")}) AS service,
+  coalesce(volume, {pick("f.volume_at_destination_cm3", "volume_at_destination_cm3")}) AS volume,
+  coalesce(windowed, {pick("f.packages_with_window_at_destination",
+                           "packages_with_window_at_destination")}, 0) AS windowed,
+  list_filter([CASE WHEN service IS NULL THEN 'service_time_at_destination_seconds' END,
+    CASE WHEN volume IS NULL THEN 'volume_at_destination_cm3' END,
+    CASE WHEN windowed IS NULL THEN 'packages_with_window_at_destination' END,
+    CASE WHEN p.to_zone_id IS NULL THEN 'to_zone_id' END,
+    CASE WHEN position = 1 AND depot_lat IS NULL THEN 'origin' END], lambda x: x IS NOT NULL)
+    AS estimated_fields,
+  coalesce(depot_lat, first_value(lat) OVER r) AS depot_lat,
+  coalesce(depot_lng, first_value(lng) OVER r) AS depot_lng, departure_hour, weekday,
+  count(*) OVER (PARTITION BY p.route_id) + 1 AS route_total_stops,
+  CAST(sum(p.packages_at_destination) OVER (PARTITION BY p.route_id) AS BIGINT)
+    AS route_package_count
+FROM planned p LEFT JOIN profile f USING (station_code) LEFT JOIN depots d USING (station_code)
+WINDOW r AS (PARTITION BY p.route_id ORDER BY position)""")
+
+_cte("plegs", "pfill", f"""
+SELECT *, round(coalesce(sum(km) OVER (PARTITION BY route_id ORDER BY position
+    ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0), 6) AS cumulative_distance_km
+FROM (SELECT *, round({KM.format(a="f", b="")}, 6) AS km,
+    CASE WHEN from_zone IS NULL THEN NULL WHEN from_zone = to_zone_id THEN 1 ELSE 0 END
+      AS same_zone
+  FROM (SELECT *, coalesce(lag(stop_id) OVER r, 'DEPOT') AS from_stop_id,
+      coalesce(lag(lat) OVER r, depot_lat) AS flat, coalesce(lag(lng) OVER r, depot_lng) AS flng,
+      lag(to_zone_id) OVER r AS from_zone,
+      CASE WHEN lag(stop_id) OVER r IS NULL THEN 1 ELSE 0 END AS is_depot_segment
+    FROM pfill WINDOW r AS (PARTITION BY route_id ORDER BY position)) a) b""")
+
+
 def sql(needs: str, select: str) -> str:
     """A select with the common tables it needs, in dependency order."""
     order: list[str] = []

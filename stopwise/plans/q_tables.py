@@ -15,7 +15,8 @@ from stopwise.workspace import new_path
 
 
 def rounded(df, digits, *columns):
-    return df.withColumns({c: F.round(c, digits) for c in columns})
+    """Adding 0.0 turns a negative zero into zero."""
+    return df.withColumns({c: F.round(c, digits) + 0.0 for c in columns})
 
 
 @query("route_stop_summary", "stop_sum", "SELECT * FROM stop_sum")
