@@ -59,8 +59,8 @@ def mann_whitney(df: DataFrame, value: str, flag: str) -> DataFrame:
     v, n = F.col(value), F.col("n")
     # Rows per (value, flag): spreads and sums weight each by its count.
     sums = ranks.agg(
-        F.sum(F.when(one, n)).alias("n1"),
-        F.sum(F.when(zero, n)).alias("n0"),
+        F.sum(F.when(one, n).otherwise(0)).alias("n1"),
+        F.sum(F.when(zero, n).otherwise(0)).alias("n0"),
         F.sum(F.when(one, n * F.col("avg_rank"))).alias("r1"),
         F.sum(_tie_term(F.col("ties")) * n / F.col("ties")).alias("tie"),
     )
@@ -73,9 +73,12 @@ def mann_whitney(df: DataFrame, value: str, flag: str) -> DataFrame:
     n1, n0 = F.col("n1").cast("double"), F.col("n0").cast("double")
     total = n1 + n0
     u = F.col("r1") - n1 * (n1 + 1) / 2
-    sd = F.sqrt(n1 * n0 / 12 * ((total + 1) - F.col("tie") / (total * (total - 1))))
-    z = (F.greatest(u, n1 * n0 - u) - n1 * n0 / 2 - 0.5) / sd
-    d = (F.col("m1") - F.col("m0")) / F.sqrt((F.col("v1") + F.col("v0")) / 2)
+    shared = F.when(total > 1, F.col("tie") / (total * (total - 1))).otherwise(0.0)
+    sd = F.sqrt(n1 * n0 / 12 * ((total + 1) - shared))
+    excess = F.greatest(u, n1 * n0 - u) - n1 * n0 / 2 - 0.5
+    z = F.when(sd > 0, excess / sd)
+    pooled = F.sqrt((F.col("v1") + F.col("v0")) / 2)
+    d = F.when(pooled > 0, (F.col("m1") - F.col("m0")) / pooled)
     out = beside(sums, spread).select("n1", "n0", u.alias("u"), z.alias("z"), d.alias("cohen_d"))
     return out.withColumn("p_value", _normal_p("z")).withColumn(
         "effect", F.when(F.abs("cohen_d") < 0.2, "negligible").otherwise("noticeable")

@@ -303,7 +303,7 @@ SELECT n1, n0, round(u, 1) AS u,
   round((greatest(u, n1 * n0 - u) - n1 * n0 / 2 - 0.5) / sqrt(n1 * n0 / 12
     * (n1 + n0 + 1 - tie / ((n1 + n0) * (n1 + n0 - 1)))), 4) AS z, round(d, 4) AS cohen_d
 FROM (SELECT n1, n0, tie, d, r1 - CAST(n1 AS DOUBLE) * (n1 + 1) / 2 AS u FROM (
-  SELECT CAST(count(*) FILTER (g = 1) AS DOUBLE) AS n1,
+  SELECT CAST(coalesce(count(*) FILTER (g = 1), 0) AS DOUBLE) AS n1,
     CAST(count(*) FILTER (g = 0) AS DOUBLE) AS n0,
     sum(rk) FILTER (g = 1) AS r1, sum(CAST(t AS DOUBLE) * t - 1) AS tie,
     (avg(v) FILTER (g = 1) - avg(v) FILTER (g = 0)) / sqrt((var_samp(v) FILTER (g = 1)

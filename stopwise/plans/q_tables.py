@@ -8,6 +8,7 @@ from stopwise.functions.geo import located
 from stopwise.operators import features, gold, joins, matrix, stops as st
 from stopwise.plans import bronze
 from stopwise.plans.catalogue import query
+from stopwise.plans.oracle import half_up
 from stopwise.sinks.tables import write_table
 from stopwise.sources import documents
 from stopwise.sources.tables import read_table
@@ -302,12 +303,12 @@ def _(k):
     )
 
 
-@query("scalar_functions", "g_seg", """
+@query("scalar_functions", "g_seg", f"""
 SELECT route_id, segment_position, substr(station_code, 2, 2) AS city,
   CASE WHEN p <= 1.0::DOUBLE / 3 THEN 'start' WHEN p <= 2.0::DOUBLE / 3 THEN 'middle' ELSE 'end'
     END AS route_third,
   CASE WHEN travel_time_seconds > 0
-    THEN round(segment_distance_km / (travel_time_seconds / 60 / 60), 4) END AS speed_kmh,
+    THEN {half_up("segment_distance_km / (travel_time_seconds / 60 / 60)", 4)} END AS speed_kmh,
   round(ln(1 + travel_time_seconds), 6) AS log_seconds
 FROM (SELECT *, segment_position / CAST(greatest(route_total_stops, 1) AS DOUBLE) AS p
   FROM g_seg) s""")
