@@ -91,7 +91,7 @@ def city_code(station: Column) -> Column:
 
 def route_third(position: Column, total: Column) -> Column:
     """Progress cut at one and two thirds, right-closed, with 0 in the first part."""
-    progress = position / F.greatest(total, F.lit(1))
+    progress = position / F.when(total < 1, 1).otherwise(total)
     return (
         F.when((progress >= 0) & (progress <= F.lit(1) / 3), "start")
         .when((progress > F.lit(1) / 3) & (progress <= F.lit(2) / 3), "middle")
@@ -105,7 +105,8 @@ def implied_speed_kmh(km: Column, minutes: Column) -> Column:
 
 
 def clip_non_negative(c: Column) -> Column:
-    return F.greatest(c, F.lit(0.0))
+    """Floor at zero. An unknown prediction stays unknown."""
+    return F.when(c < 0, 0.0).otherwise(c)
 
 
 def segment_ratio(position: Column, total_stops: Column) -> Column:

@@ -1,9 +1,10 @@
 """The registered queries once more, as plain SQL over the given tables."""
 
-KM = (
-    "(2 * 6371.0088 * asin(least(1.0, sqrt(pow(sin(radians({b}lat - {a}lat) / 2), 2)"
-    " + cos(radians({a}lat)) * cos(radians({b}lat)) * pow(sin(radians({b}lng - {a}lng) / 2), 2)))))"
+_H = (
+    "(pow(sin(radians({b}lat - {a}lat) / 2), 2) + cos(radians({a}lat)) * cos(radians({b}lat))"
+    " * pow(sin(radians({b}lng - {a}lng) / 2), 2))"
 )
+KM = f"(2 * 6371.0088 * asin(sqrt(CASE WHEN {_H} > 1 THEN 1 ELSE {_H} END)))"
 
 # name -> (tables it needs, select)
 CTE: dict[str, tuple[str, str]] = {}
