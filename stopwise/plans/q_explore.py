@@ -160,7 +160,7 @@ SPEARMAN = [c for c in schemas.SEGMENT_NUMERIC if c != "travel_time_seconds"]
     rank() OVER (PARTITION BY "column" ORDER BY y)
       + (count(*) OVER (PARTITION BY "column", y) - 1) / 2.0::DOUBLE AS ry FROM l)
 SELECT "column", count(*) AS n,
-  CASE WHEN isnan(corr(rx, ry)) THEN NULL ELSE round(corr(rx, ry), 4) END AS rho
+  CASE WHEN isnan(corr(rx, ry)) THEN NULL ELSE round(corr(rx, ry), 4) + 0.0::DOUBLE END AS rho
 FROM r GROUP BY 1) x""")
 def _(k):
     out = rank_tests.spearman(k.get("gold_segments"), SPEARMAN, "travel_time_seconds")
@@ -203,7 +203,7 @@ DRIVERS = [c for c in schemas.SEGMENT_NUMERIC if c not in ("travel_time_seconds"
 
 
 @query("residual_drivers", "g_seg", f"""
-SELECT * FROM (SELECT "column", round(r, 4) AS r FROM (UNPIVOT (
+SELECT * FROM (SELECT "column", round(r, 4) + 0.0::DOUBLE AS r FROM (UNPIVOT (
   SELECT {", ".join(f'corr({c}, residual) AS {c}' for c in DRIVERS)}
   FROM (SELECT *, travel_time_seconds - slope * segment_distance_km - intercept AS residual
     FROM {DELIVERY} t, (SELECT regr_slope(travel_time_seconds, segment_distance_km) AS slope,
@@ -236,8 +236,8 @@ def _(k):
 
 
 @query("simpson_check", "g_seg", f"""
-SELECT (SELECT round(corr(has_rain, travel_time_seconds), 4) FROM {DELIVERY} t) AS overall,
-  round(avg(r), 4) AS mean_within, count(*) AS groups
+SELECT (SELECT round(corr(has_rain, travel_time_seconds), 4) + 0.0::DOUBLE FROM {DELIVERY} t) AS overall,
+  round(avg(r), 4) + 0.0::DOUBLE AS mean_within, count(*) AS groups
 FROM (SELECT station_code, corr(has_rain, travel_time_seconds) AS r FROM {DELIVERY} u
   GROUP BY 1 HAVING count(*) > 1000 AND count(DISTINCT has_rain) > 1) s""")
 def _(k):
@@ -278,7 +278,7 @@ DURATION = [
 
 
 @query("duration_drivers", "g_routes", f"""
-SELECT "column", round(r, 4) AS r FROM (UNPIVOT (
+SELECT "column", round(r, 4) + 0.0::DOUBLE AS r FROM (UNPIVOT (
   SELECT {", ".join(f'corr({c}, route_duration_seconds) AS {c}' for c in DURATION)} FROM g_routes
   ) ON COLUMNS(*) INTO NAME "column" VALUE r) p WHERE NOT isnan(r)""")
 def _(k):
@@ -301,7 +301,7 @@ def mw_sql(table, flag):
     return f"""
 SELECT n1, n0, round(u, 1) AS u,
   round((greatest(u, n1 * n0 - u) - n1 * n0 / 2 - 0.5) / sqrt(n1 * n0 / 12
-    * (n1 + n0 + 1 - tie / ((n1 + n0) * (n1 + n0 - 1)))), 4) AS z, round(d, 4) AS cohen_d
+    * (n1 + n0 + 1 - tie / ((n1 + n0) * (n1 + n0 - 1)))), 4) AS z, round(d, 4) + 0.0::DOUBLE AS cohen_d
 FROM (SELECT n1, n0, tie, d, r1 - CAST(n1 AS DOUBLE) * (n1 + 1) / 2 AS u FROM (
   SELECT CAST(coalesce(count(*) FILTER (g = 1), 0) AS DOUBLE) AS n1,
     CAST(count(*) FILTER (g = 0) AS DOUBLE) AS n0,

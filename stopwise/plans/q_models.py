@@ -216,8 +216,8 @@ CASE WHEN segment_position / CAST(greatest(route_total_stops, 1) AS DOUBLE) <= 1
 
 @query("bias_by_decile", "oof_", """
 SELECT CAST(decile AS INT) AS decile, round(avg(travel_time_seconds) / 60, 4) AS mean_duration_min,
-  round(avg(residual) / 60, 4) AS bias_min, round(avg(abs(residual)) / 60, 4) AS mae_min,
-  count(*) AS n
+  round(avg(residual) / 60, 4) + 0.0::DOUBLE AS bias_min,
+  round(avg(abs(residual)) / 60, 4) AS mae_min, count(*) AS n
 FROM (SELECT travel_time_seconds, residual,
     greatest(len(list_filter(e, lambda x: x < travel_time_seconds)) - 1, 0) AS decile
   FROM oof_, (SELECT list_sort(list_distinct([quantile_cont(travel_time_seconds, 0.0), """

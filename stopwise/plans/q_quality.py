@@ -167,7 +167,7 @@ def pair_sql(table, columns, digits, where=""):
         f'corr({a}, {b}) AS "{a}|{b}"' for i, a in enumerate(columns) for b in columns[i + 1:]
     )
     return (f"SELECT split_part(pair, '|', 1) AS a, split_part(pair, '|', 2) AS b, "
-            f"round(r, {digits}) AS r FROM (UNPIVOT (SELECT {cells} FROM {table} {where}) "
+            f"round(r, {digits}) + 0.0::DOUBLE AS r FROM (UNPIVOT (SELECT {cells} FROM {table} {where}) "
             f"ON COLUMNS(*) INTO NAME pair VALUE r) u WHERE NOT isnan(r)")
 
 

@@ -103,7 +103,7 @@ FROM hold JOIN line USING (is_depot_segment) JOIN (SELECT is_depot_segment,
 
 
 @query("line_contributions", "hold line train", f"""
-SELECT * REPLACE (round(contribution_seconds, 4) AS contribution_seconds,
+SELECT * REPLACE (round(contribution_seconds, 4) + 0.0::DOUBLE AS contribution_seconds,
   round(base_seconds, 4) AS base_seconds) FROM ({CONTRIBUTIONS}) c""")
 def _(k):
     out = explain.line_contributions(k.get("holdout"), k.get("lines"), k.get("train"))
