@@ -73,9 +73,9 @@ def top_correlations(df: DataFrame, columns: list[str], k: int) -> DataFrame:
 
 
 def correlated_with(df: DataFrame, columns: list[str], target: str) -> DataFrame:
-    """(column, r) of each column with one target: k built-in aggregates, one pass."""
-    wide = df.agg(*[pair_corr(F.col(c), F.col(target)).alias(c) for c in columns])
-    return wide.unpivot([], columns, "column", "r")
+    """(column, r) of each column with one target."""
+    found = correlations(df, [*columns, target]).filter(F.col("b") == target)
+    return found.select(F.col("a").alias("column"), "r")
 
 
 def vif(df: DataFrame, columns: list[str], threshold: float = 5.0) -> DataFrame:
