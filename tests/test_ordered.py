@@ -82,3 +82,18 @@ def test_percentiles_of_little(spark):
     assert percentiles(spark.createDataFrame([(4.0,)], "v double"), "v", {"m": 0.5}).first()[0] == 4.0
     empty = spark.createDataFrame([], "v double")
     assert percentiles(empty, "v", {"m": 0.5}).first()["m"] is None
+
+
+def test_a_route_longer_than_a_block(spark):
+    """Positions past 4,096 switch running sums and route attributes to the blocked form."""
+    from stopwise.operators.gold import with_cumulative_distance, with_route_context
+
+    legs = spark.range(1, 5001).select(
+        F.lit("L").alias("route_id"),
+        F.col("id").cast("int").alias("segment_position"),
+        F.lit(0.5).alias("segment_distance_km"),
+    )
+    context = spark.createDataFrame([("L", "D"), ("other", "E")], "route_id string, station_code string")
+    out = with_route_context(with_cumulative_distance(legs), context).toPandas()
+    assert len(out) == 5000 and set(out["station_code"]) == {"D"}
+    assert (out["cumulative_distance_km"] == (out["segment_position"] - 1) * 0.5).all()
