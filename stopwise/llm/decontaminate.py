@@ -8,17 +8,22 @@ matches are extended, and non-overlapping ones are marked. The share of the item
 is its coverage, however the passages were ordered.
 """
 
+import functools
 import re
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stopwise.llm.tables import read, small_batches
 
 BASE = 1_000_003
 WORDS = re.compile(r"\w+")
+TILE = pa.struct([("item_start", pa.int32()), ("doc_start", pa.int32()), ("length", pa.int32())])
+KINDS = [pa.int64(), pa.int64(), pa.float64(), pa.int32(), pa.int32(), pa.list_(TILE)]
 
 
 def windows(ids: np.ndarray, length: int) -> np.ndarray:
@@ -151,6 +156,18 @@ class Block:
                 yield item, coverage, len(words), spans
 
 
+def item_blocks(benchmark: DataFrame, shortest: int, block_items: int) -> Iterator[Block]:
+    """The test items, ``block_items`` at a time; there is a block even without items."""
+    items = benchmark.select(F.col("item_id").cast("long"), "text").where("text IS NOT NULL")
+    part: list[tuple[int, str]] = []
+    for row in items.toLocalIterator():
+        part.append((row["item_id"], row["text"]))
+        if len(part) == block_items:
+            yield Block(part, shortest)
+            part = []
+    yield Block(part, shortest)
+
+
 def contaminated(
     documents: DataFrame,
     benchmark: DataFrame,
@@ -171,32 +188,39 @@ def contaminated(
         "doc_id long, item_id long, coverage double, item_words int, n_tiles int, "
         "tiles array<struct<item_start:int,doc_start:int,length:int>>"
     )
+    names = [f.split()[0] for f in schema.split(", ")]
     narrow = documents.select(F.col("doc_id").cast("long"), "text")
-    items = benchmark.select(F.col("item_id").cast("long"), "text").where("text IS NOT NULL")
 
-    def found(block):
-        def run(frames):
-            for frame in frames:
+    def found(block: Block) -> DataFrame:
+        def run(batches):
+            for batch in batches:
                 rows = [
                     (doc, item, coverage, n, len(spans), [dict(zip(("item_start", "doc_start", "length"), s)) for s in spans])
-                    for doc, text in zip(frame["doc_id"].array, frame["text"])
+                    for doc, text in zip(*(c.to_pylist() for c in batch.columns))
                     for item, coverage, n, spans in block.hits(text, threshold)
                 ]
-                yield pd.DataFrame(rows, columns=["doc_id", "item_id", "coverage", "item_words", "n_tiles", "tiles"])
+                columns = list(zip(*rows)) or [()] * len(names)
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, KINDS)], names=names)
 
-        return narrow.mapInPandas(run, schema)
+        return narrow.mapInArrow(run, schema)
 
-    result, part = None, []
+    return functools.reduce(DataFrame.unionByName, map(found, item_blocks(benchmark, shortest, block_items)))
 
-    def add(result):
-        rows = found(Block(part, shortest))
-        return rows if result is None else result.unionByName(rows)
 
-    for row in items.toLocalIterator():
-        part.append((row["item_id"], row["text"]))
-        if len(part) == block_items:
-            result, part = add(result), []
-    return add(result) if part or result is None else result
+def is_contaminated(
+    text: Column, benchmark: DataFrame, shortest: int = 5, threshold: float = 0.5, block_items: int = 20_000
+) -> Column:
+    """Whether the text covers a test item as in ``contaminated``. Never null."""
+
+    def flag(block: Block) -> Column:
+        @F.pandas_udf("boolean")
+        def covered(texts: pd.Series) -> pd.Series:
+            return pd.Series([next(block.hits(t, threshold), None) is not None for t in texts], dtype=bool)
+
+        return covered(F.coalesce(text, F.lit("")))
+
+    flags = map(flag, item_blocks(benchmark, shortest, block_items))
+    return functools.reduce(lambda a, b: a | b, flags)
 
 
 def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
