@@ -15,10 +15,11 @@ from pyspark.sql import functions as F
 
 from stopwise.llm.tables import read, small_batches
 
-ROW_BITS = 14  # of the numbers of rows of both embedding tables
+ROW_BITS = 17  # of the numbers of rows of both embedding tables
 GRAMS = (3, 5)
 WIDTH = 8  # of both embeddings
 HIDDEN = 8
+RARE = 4
 ATTENTION = 8
 WINDOW = 64
 STRIDE = 48
@@ -213,13 +214,26 @@ class Network:
         return 1 / (1 + np.exp(-best))
 
 
-def train(texts: list[bytes | None], labels: np.ndarray, epochs: int = 9, batch: int = 64, rate: float = 0.01, seed: int = 7) -> Network:
-    """Adam on the log loss. In the first epochs every window carries its text's label; later only
+def train(texts: list[bytes | None], labels: np.ndarray, epochs: int = 9, batch: int = 64, rate: float = 0.01, least_steps: int = 350, seed: int = 7) -> Network:
+    """Rows of the tables that fewer than ``RARE`` of the texts meet stay zero, so that no text is
+    told by its rare words. Adam on the log loss, for ``epochs`` passes or at least ``least_steps`` steps; the texts
+    without the label weigh three times as much as the others. In the first epochs every window carries its text's label; later only
     the window with the largest logit does, as it alone decides the text's score."""
     net, rng = Network(seed), np.random.default_rng(seed)
+    met = {"words": np.zeros(1 << ROW_BITS, int), "grams": np.zeros(1 << ROW_BITS, int)}
+    for text in texts:
+        words = Words([text])
+        met["words"][np.unique(words.hashes)] += 1
+        met["grams"][np.unique(words.grams)] += 1
+    kept_rows = {k: (v >= RARE)[:, None] for k, v in met.items()}
+    for k, rows in kept_rows.items():
+        net.p[k] *= rows
     first = {k: np.zeros_like(v) for k, v in net.p.items()}
     second = {k: np.zeros_like(v) for k, v in net.p.items()}
+    epochs = max(epochs, -(-least_steps * batch // len(texts)))
     step, warm = 0, max(1, epochs // 3)
+    ones = min(max(float(labels.mean()), 0.01), 0.99)
+    weights = np.where(labels == 1, 0.25 / ones, 0.75 / (1 - ones)).astype(np.float32)
     for epoch in range(epochs):
         order = rng.permutation(len(texts))
         for at in range(0, len(order), batch):
@@ -234,11 +248,12 @@ def train(texts: list[bytes | None], labels: np.ndarray, epochs: int = 9, batch:
                 ids, sizes, owners = ids[top], sizes[top], owners[top]
             logits, kept = net.forward(x, ids, sizes, keep=True)
             share = 1 / np.bincount(owners)[owners]
-            error = (1 / (1 + np.exp(-logits)) - labels[chosen][owners]) * share / len(chosen)
+            error = (1 / (1 + np.exp(-logits)) - labels[chosen][owners]) * share * weights[chosen][owners] / len(chosen)
             grads = net.gradients(words, x, ids, sizes, error.astype(np.float32), kept)
             step += 1
             now = rate * (1 - 0.9 * epoch / epochs)
             for k, g in grads.items():
+                g = g * kept_rows[k] if k in kept_rows else g
                 first[k] += 0.1 * (g - first[k])
                 second[k] += 0.01 * (g * g - second[k])
                 scale = now * np.sqrt(1 - 0.99**step) / (1 - 0.9**step)
