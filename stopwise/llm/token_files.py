@@ -9,6 +9,8 @@ every document, as one zstandard frame of 64-bit integers.
 """
 
 import struct
+import sys
+import types
 import uuid
 import zlib
 
@@ -33,6 +35,7 @@ FOOTER = "<IBI"
 ENTRY = "<III"
 HEAD = "<II"
 NO_ID = -(1 << 63)
+LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
 class Writer:
@@ -130,36 +133,77 @@ class Reader:
 
 
 class Encoder:
-    """Ids of texts by a tokenizer that never joins what blanks or line breaks separate.
+    """Ids of texts by a tokenizer that never joins what blanks or line breaks separate, splits
+    letters and digits from punctuation, and lower-cases.
 
-    The words between these are encoded one by one through the library and kept, since most words
-    come again; ``words`` bounds what is kept.
+    The words between blanks are looked up among the known ones. A new word falls into its core and
+    the closing punctuation, in lower case; cores not yet known are encoded by the library, joined
+    by blanks in one call and parted again by their places. Known words move to an older generation
+    when there are over ``words`` of them, and back when they are met again.
     """
 
-    def __init__(self, path: str, words: int = 400_000):
+    def __init__(self, path: str, words: int = 250_000):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
         self.words = words
 
     def encode(self, text: str | None, end: int) -> np.ndarray:
         words = (text or "").replace("\n", " ").split(" ")
         known = self.known
-        new = [w for w in set(words) if w not in known]
-        if new:
-            if len(known) + len(new) > self.words:
-                known.clear()
-                new = list(set(words))
-            for word, e in zip(new, self.tokenizer.encode_batch(new, add_special_tokens=False)):
-                known[word] = np.array(e.ids, "<u4").tobytes()
-        ids = b"".join([known[w] for w in words]) + struct.pack("<I", end)
-        return np.frombuffer(ids, "<u4")
+        try:
+            ids = [known[w] for w in words]
+        except KeyError:
+            self._learn(set(words))
+            ids = [self.known[w] for w in words]
+        ids.append(struct.pack("<I", end))
+        return np.frombuffer(b"".join(ids), "<u4")
+
+    def _learn(self, words: set[str]) -> None:
+        if len(self.known) > self.words:
+            self.older, self.known = self.known, {}
+        known, older = self.known, self.older
+        missing = [w for w in words if w not in known]
+        known.update((w, older[w]) for w in missing if w in older)
+        parts = {w: _parts(w) for w in missing if w not in older}
+        found = {p for both in parts.values() for p in both if p not in known}
+        known.update((p, older[p]) for p in found if p in older)
+        new = [p for p in found if p not in older]
+        for at in range(0, len(new), 4096):
+            part = new[at : at + 4096]
+            e = self.tokenizer.encode(" ".join(part), add_special_tokens=False)
+            ids = np.array(e.ids, "<u4")
+            places = np.fromiter((o[0] for o in e.offsets), np.int64, len(ids))
+            ends = np.searchsorted(places, np.cumsum([len(p) + 1 for p in part]))
+            for p, i, j in zip(part, [0, *ends[:-1].tolist()], ends.tolist()):
+                known[p] = ids[i:j].tobytes()
+        for w, (core, tail) in parts.items():
+            known[w] = known[core] + known[tail] if tail else known[core]
 
     def size(self) -> int:
         return self.tokenizer.get_vocab_size()
 
 
+def _parts(word: str) -> tuple[str, str]:
+    """Core and closing punctuation of a word, in lower case. What may be a special token, and words
+    with other signs before the punctuation, stay whole."""
+    if "<|" in word:
+        return word, ""
+    word = word.translate(LOWER)
+    core = word.rstrip(".,;:!?")
+    return (core, word[len(core) :]) if core[-1:].isalnum() else (word, "")
+
+
+def encoder_of(path: str) -> Encoder:
+    """The encoder of this Python worker, which Spark uses for one task after the other."""
+    store = sys.modules.setdefault("_kept_encoders", types.ModuleType("_kept_encoders"))
+    if path not in store.__dict__:
+        store.__dict__[path] = Encoder(path)
+    return store.__dict__[path]
+
+
 def open_fs(uri: str):
     """File system and path of a folder that all executors share."""
     return pa.fs.FileSystem.from_uri(uri if "://" in uri or uri.startswith("file:") else f"file://{uri}")
@@ -191,7 +235,7 @@ def write_token_files(
         for batch in batches:
             for doc_id, text, mark in zip(*(c.to_pylist() for c in batch.columns)):
                 if writer is None:
-                    encoder = Encoder(tokenizer)
+                    encoder = encoder_of(tokenizer)
                     fs, root = open_fs(folder)
                     fs.create_dir(root, recursive=True)
                     path = f"{root}/{uuid.uuid4().hex}.ids.zst"
