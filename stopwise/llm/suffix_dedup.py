@@ -10,8 +10,8 @@ with one anchor is a run.
 2. Runs that are equal as a whole are counted by a 128-bit hash; all their strings are repeated.
 3. Runs that share a gram but are not equal are range-partitioned by the gram they lead to, with
    splitters that Spark samples. Each bucket sorts the suffixes of its runs by multikey quicksort,
-   eight bytes a step, and equal neighbours are repeated strings. The first and the last gram of a
-   bucket may go on across its boundary; their suffixes are compared between buckets by hash.
+   eight bytes a step, and equal neighbours are repeated strings. A gram with more than GROUP_RUNS
+   different runs would fill a bucket; its suffixes are compared across all buckets by hash.
 """
 
 import hashlib
@@ -31,6 +31,7 @@ GRAM = 32
 PLACE_BITS = 26
 CHUNK = 1 << 21
 SORT_ROWS = 8_000
+GROUP_RUNS = 20_000
 
 
 def _scrambled(x: np.ndarray) -> np.ndarray:
@@ -223,51 +224,41 @@ def stretches(repeated: np.ndarray) -> list[int]:
 
 
 def compare_buckets(unequal: DataFrame, length: int) -> DataFrame:
-    """(r1, r2, spans, content) for runs with gram, place and content: ``spans`` of their repeated
-    strings where a bucket can tell, else null and the run's own content."""
+    """(r1, r2, spans) of the repeated strings of runs with gram, place and content. Spark samples
+    the splitters; all runs of a gram are in one bucket."""
 
     def run(batches):
-        ends: list[tuple] = []  # runs of the first gram
         held: list[tuple] = []
-        first = True
 
         def settle(rows):
             spans = equal_suffixes(
                 np.array([r[0] for r in rows]), np.array([r[1] for r in rows]), [r[4] for r in rows], length
             )
-            return _rows([(r[2], r[3], stretches(s), None) for r, s in zip(rows, spans)])
+            return _rows([(r[2], r[3], stretches(s)) for r, s in zip(rows, spans)])
 
         for batch in batches:
             for row in zip(*(c.to_pylist() for c in batch.columns)):
-                if held and row[0] != held[-1][0]:
-                    if first:
-                        ends, held, first = held, [], False
-                    elif len(held) >= SORT_ROWS:
-                        yield settle(held)
-                        held = []
+                if len(held) >= SORT_ROWS and row[0] != held[-1][0]:
+                    yield settle(held)
+                    held = []
                 held.append(row)
-        # the last gram may go on in the next bucket
-        last = held[-1][0] if held else None
-        whole = [r for r in held if r[0] != last]
-        if whole:
-            yield settle(whole)
-        open_ = ends + [r for r in held if r[0] == last]
-        if open_:
-            yield _rows([(r[2], r[3], None, r[4]) for r in open_])
+        if held:
+            yield settle(held)
 
     ordered = unequal.select("gram", "place", "r1", "r2", "content")
-    ordered = ordered.repartitionByRange("gram", "r1", "r2").sortWithinPartitions("gram", "r1", "r2")
-    return ordered.mapInArrow(run, "r1 long, r2 long, spans array<int>, content binary")
+    ordered = ordered.repartitionByRange("gram").sortWithinPartitions("gram", "r1", "r2")
+    return ordered.mapInArrow(run, "r1 long, r2 long, spans array<int>")
 
 
 def _rows(rows):
     columns = list(zip(*rows))
-    kinds = [pa.int64(), pa.int64(), pa.list_(pa.int32()), pa.binary()]
-    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=["r1", "r2", "spans", "content"])
+    kinds = [pa.int64(), pa.int64(), pa.list_(pa.int32())]
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=["r1", "r2", "spans"])
 
 
-def compare_across(open_runs: DataFrame, length: int) -> DataFrame:
-    """(r1, r2, spans) for runs at the boundaries of buckets: equal strings have equal hashes."""
+def compare_across(large: DataFrame, length: int) -> DataFrame:
+    """(r1, r2, spans) for runs of grams too frequent for one bucket: their strings are spread over
+    all tasks by hash, and equal strings have equal hashes."""
 
     def run(batches):
         for batch in batches:
@@ -280,7 +271,7 @@ def compare_across(open_runs: DataFrame, length: int) -> DataFrame:
                     names=["r1", "r2", "at", "s1", "s2"],
                 )
 
-    strings = open_runs.select("r1", "r2", "content").mapInArrow(run, "r1 long, r2 long, at int, s1 long, s2 long")
+    strings = large.select("r1", "r2", "content").mapInArrow(run, "r1 long, r2 long, at int, s1 long, s2 long")
     common = strings.groupBy("s1", "s2").agg(F.count("*").alias("n")).where("n > 1").select("s1", "s2")
     found = strings.join(common, ["s1", "s2"]).groupBy("r1", "r2").agg(F.collect_list("at").alias("at"))
     return found.select(
@@ -305,9 +296,12 @@ def removal_spans(rows: DataFrame, length: int) -> DataFrame:
     unequal = possible.join(chosen, same, "left_semi").groupBy("gram", "r1", "r2").agg(
         F.first("place").alias("place"), F.first("content").alias("content")
     )
-    compared = staged(compare_buckets(staged(unequal, "unequal-runs"), length), "compared-runs")
-    across = compare_across(compared.where("content IS NOT NULL"), length)
-    within = compared.where("size(spans) > 0").select("r1", "r2", "spans")
+    unequal = staged(unequal, "unequal-runs")
+    large = unequal.groupBy(F.col("gram").alias("_gram")).count().where(F.col("count") > GROUP_RUNS)
+    large = staged(large.select("_gram"), "frequent-grams")
+    is_large = F.col("gram") == F.col("_gram")
+    within = compare_buckets(unequal.join(large, is_large, "left_anti"), length).where("size(spans) > 0")
+    across = compare_across(unequal.join(large, is_large, "left_semi"), length)
     partly = within.unionByName(across).join(
         kinds.where("n = 1").select(F.col("r1").alias("_1"), F.col("r2").alias("_2")), same, "left_semi"
     )
