@@ -13,6 +13,7 @@ from stopwise.llm.tables import SPACE, read
 from stopwise.workspace import staged
 
 HASHES = 2
+ADDED = ["keep_id", "group_size", "kept", "text_sha256", "_plain", "_maybe", "_rank", "_sha", "_best"]
 
 
 def repeated_filter(hashes: DataFrame, size: int) -> DataFrame:
@@ -31,12 +32,14 @@ def exact_dedup(
     bits_per_row: int = 16,
     limit_bytes: int = 1 << 24,
 ) -> DataFrame:
-    """Adds keep_id, group_size, kept and text_sha256 to every row; all other columns stay.
+    """Adds keep_id, group_size, kept and text_sha256 to every row; all other columns stay,
+    but columns of the input with these names are replaced.
 
     Texts are equal when they are without their white space; null counts as empty. The row with the
     most code points stays, then the one with the smallest id (a null id last), then the first row.
     ``limit_bytes`` bounds the filter; a filter that is too small only lets more rows be grouped.
     """
+    documents = documents.drop(*ADDED)
     text = F.coalesce(F.col(text_column), F.lit(""))
     plain = F.regexp_replace(text, SPACE, "")
     size = bloom.size_for(documents.count(), bits_per_row, limit_bytes)

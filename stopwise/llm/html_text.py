@@ -301,13 +301,14 @@ def _chosen(main: str) -> frozenset:
 
 
 def extract_text(pages: DataFrame, url_column: str = "url", html_column: str = "html") -> DataFrame:
-    """Adds text and n_chars to every page; its other columns stay.
+    """Adds text and n_chars to every page; its other columns stay, columns of these names
+    are replaced.
 
     Null html counts as empty and gives an empty text; pages with a null url or one without a host
     share the empty host; a page cut off in the middle of a tag loses that tag only; repeated rows
     give repeated rows; an empty table gives an empty result.
     """
-    named = pages.withColumn("_host", host_of(F.col(url_column)))
+    named = pages.drop("text", "n_chars", "_h", "_main").withColumn("_host", host_of(F.col(url_column)))
     learned = staged(learn(named.select(F.col("_host").alias("host"), F.col(html_column).alias("html"))), "page-slots")
     wrappers = host_wrappers(learned.where("wrapper IS NOT NULL").select("host", "wrapper"))
     constant = learned.where("path IS NOT NULL").groupBy("host", "path").agg(F.min("low").alias("low"), F.max("high").alias("high"))
@@ -319,11 +320,11 @@ def extract_text(pages: DataFrame, url_column: str = "url", html_column: str = "
             main = [
                 json.dumps(main_slots(json.loads(w), {tuple(x.split("\n")) for x in p or ()})) for w, p in zip(texts, paths)
             ]
-            yield pa.RecordBatch.from_arrays([pa.array(hosts), pa.array(main, pa.string())], names=["_h", "main"])
+            yield pa.RecordBatch.from_arrays([pa.array(hosts), pa.array(main, pa.string())], names=["_h", "_main"])
 
     judged = wrappers.join(constant, F.col("host") == F.col("_h"), "left").select("host", "wrapper", "paths")
     # written, so that its size decides how it meets the pages
-    specs = staged(judged.mapInArrow(judge, "_h string, main string"), "host-slots")
+    specs = staged(judged.mapInArrow(judge, "_h string, _main string"), "host-slots")
 
     def read_page(page: str | None, main: str | None) -> str:
         chosen = _chosen(main or "[]")
@@ -335,8 +336,8 @@ def extract_text(pages: DataFrame, url_column: str = "url", html_column: str = "
         return page.combine(main, read_page)
 
     joined = named.join(specs, F.col("_host") == F.col("_h"), "left")
-    read_pages = joined.withColumn("text", text_of(html_column, "main"))
-    return read_pages.withColumn("n_chars", F.length("text").cast("long")).drop("_host", "_h", "main")
+    read_pages = joined.withColumn("text", text_of(html_column, "_main"))
+    return read_pages.withColumn("n_chars", F.length("text").cast("long")).drop("_host", "_h", "_main")
 
 
 def op3_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -145,7 +145,7 @@ def mix(documents: DataFrame, weights: tuple[int, ...] = (1, 2, 3)) -> DataFrame
 def mixed_documents(documents: DataFrame) -> DataFrame:
     """The mix as rows: every document as often as the mix takes it, rounded to whole documents.
     A document without words stays once. Columns and texts are those of the input; the columns
-    doc_id, source and text must be there. Repeated rows of one doc_id share their mean share."""
+    doc_id, source and text must be there, names with an underscore first must not. Repeated rows of one doc_id share their mean share."""
     ratio = F.when(F.sum("size") > 0, F.sum("taken") / F.sum("size")).otherwise(F.lit(1.0))
     shares = mix(documents).groupBy(F.col("doc_id").alias("_id")).agg(F.round(ratio).cast("int").alias("_copies"))
     joined = documents.join(shares, documents["doc_id"].eqNullSafe(F.col("_id")))

@@ -289,8 +289,8 @@ def fit_toxicity(documents: DataFrame, labels: DataFrame, per_class: int = 1200,
 
 
 def score_toxicity(documents: DataFrame, network: Network | None) -> DataFrame:
-    """Adds score and predicted to every document; all its columns stay. Without a network all
-    scores are 0.
+    """Adds score and predicted to every document; all its columns stay, columns of these
+    names are replaced. Without a network all scores are 0.
 
     Null and empty texts, and texts without letters, have one window without words; texts of any
     length are read whole; repeated rows score alike; an empty table gives an empty result.

@@ -124,7 +124,8 @@ def build_cascade(
 def judge_urls(
     pages: DataFrame, rules: DataFrame, default: str = "allow", url_column: str = "url"
 ) -> DataFrame:
-    """Adds host, path, rule and verdict to every page; its other columns stay.
+    """Adds host, path, rule and verdict to every page; its other columns stay, columns
+    of these names are replaced.
 
     ``rules`` has verdict (allow or block), host and path; the longest rule that fits wins. Rules
     given twice count once; of two contradicting verdicts for one rule block wins. A page whose url
