@@ -193,7 +193,7 @@ def _parts(word: str) -> tuple[str, str]:
         return word, ""
     word = word.translate(LOWER)
     core = word.rstrip(".,;:!?")
-    return (core, word[len(core) :]) if core[-1:].isalnum() else (word, "")
+    return (core, word[len(core) :]) if core[-1:].isalpha() or core[-1:].isdecimal() else (word, "")
 
 
 def encoder_of(path: str) -> Encoder:
