@@ -56,11 +56,14 @@ def package_volume(depth: Column, height: Column, width: Column) -> Column:
 
 
 def departure_timestamp(day: Column, time: Column) -> Column:
-    return F.to_timestamp(F.concat_ws(" ", day.cast("string"), time), "yyyy-MM-dd HH:mm:ss")
+    """The given time of day in UTC, whatever the session's time zone."""
+    text = F.concat(day.cast("string"), F.lit(" "), time, F.lit(" +00:00"))
+    return F.to_timestamp(text, "yyyy-MM-dd HH:mm:ss XXX")
 
 
 def departure_hour(ts: Column) -> Column:
-    return F.hour(ts)
+    """Hour in UTC."""
+    return F.floor(F.pmod(F.unix_seconds(ts), F.lit(86400)) / 3600).cast("int")
 
 
 def time_text(ts: Column) -> Column:

@@ -1,7 +1,7 @@
 """Boosted trees (MLlib) for single, per-population and candidate models."""
 
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.feature import VectorAssembler
+from pyspark.ml.feature import SQLTransformer, VectorAssembler
 from pyspark.ml.regression import GBTRegressor
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -46,8 +46,25 @@ def regressor(
     )
     if validation:
         gbt = gbt.setValidationIndicatorCol(validation)
-    assemble = VectorAssembler(inputCols=features, outputCol="features", handleInvalid="skip")
-    return Pipeline(stages=[assemble, gbt])
+    assemble = VectorAssembler(
+        inputCols=[*(f"_known_{f}" for f in features), *(f"_unknown_{f}" for f in features)],
+        outputCol="features",
+        handleInvalid="error",
+    )
+    return Pipeline(stages=[*known_or_flagged(features), assemble, gbt])
+
+
+def known_or_flagged(features: list[str]) -> list[SQLTransformer]:
+    """Every feature as a number that is never null, and a flag where it was: a tree can then tell
+    an unknown value from a zero, and no row is left out of a fit or of its predictions."""
+    unknown = "({0} IS NULL OR isnan({0}))"
+    known = "CASE WHEN {0} IS NULL OR isnan({0}) THEN 0.0D ELSE {0} END AS `_known_{1}`"
+    columns = []
+    for f in features:
+        value = f"CAST(`{f}` AS DOUBLE)"
+        columns.append(known.format(value, f))
+        columns.append(f"CAST({unknown.format(value)} AS INT) AS `_unknown_{f}`")
+    return [SQLTransformer(statement=f"SELECT *, {', '.join(columns)} FROM __THIS__")]
 
 
 def boosted_single(train: DataFrame, loss: str, **params) -> PipelineModel:
@@ -79,8 +96,9 @@ def fit_with_early_stopping(train: DataFrame, validation_routes: DataFrame, feat
 
 
 def importance(model: PipelineModel, features: list[str], **labels) -> list[tuple]:
-    """(labels, feature, share) rows; their number is the number of features."""
-    values = model.stages[-1].featureImportances.toArray()
+    """(labels, feature, share) rows; their number is the number of features. A feature's flag for
+    unknown values counts as the feature."""
+    values = model.stages[-1].featureImportances.toArray().reshape(2, -1).sum(0)
     return [(*labels.values(), f, float(v)) for f, v in zip(features, values)]
 
 

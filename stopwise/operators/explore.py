@@ -218,7 +218,7 @@ def means_by(df: DataFrame) -> DataFrame:
 
 def simpson_check(
     df: DataFrame, x: str = "has_rain", y: str = TARGET, group: str = "station_code",
-    min_rows: int = 1000,
+    min_rows: int = 1,
 ) -> DataFrame:
     """Correlation over all rows next to the mean of the correlations inside each group that is
     large enough and in which ``x`` varies."""
@@ -232,7 +232,7 @@ def simpson_check(
             F.min("x").alias("lo"),
             F.max("x").alias("hi"),
         )
-        .filter((F.col("n") > min_rows) & (F.col("lo") < F.col("hi")))
+        .filter((F.col("n") >= min_rows) & (F.col("lo") < F.col("hi")))
         .agg(F.avg("r").alias("mean_within"), F.count("*").alias("groups"))
     )
     return beside(d.agg(pair_corr(F.col("x"), F.col("y")).alias("overall")), inside)

@@ -118,7 +118,7 @@ def _km(lat1, lng1, lat2, lng2):
     return 2 * EARTH_RADIUS_KM * np.arcsin(np.minimum(1.0, np.sqrt(a)))
 
 
-def improve_order(start: np.ndarray, between: np.ndarray, passes: int) -> np.ndarray:
+def improve_order(start: np.ndarray, between: np.ndarray) -> np.ndarray:
     """Nearest next stop by cost, then 2-opt on edge costs until a pass finds nothing.
 
     ``start[j]`` is the cost of opening with stop j; ``between`` is symmetric, so reversing a run
@@ -132,7 +132,8 @@ def improve_order(start: np.ndarray, between: np.ndarray, passes: int) -> np.nda
         j = int(np.argmin(np.where(free, cost, np.inf)))
         order[i], free[j] = j, False
         cost = between[j]
-    for _ in range(passes):
+    better = True  # every move lowers the cost, so this ends
+    while better:
         better = False
         for i in range(n - 1):
             ends = order[i + 1 :]
@@ -147,13 +148,11 @@ def improve_order(start: np.ndarray, between: np.ndarray, passes: int) -> np.nda
                 j = i + 1 + k
                 order[i : j + 1] = order[i : j + 1][::-1]
                 better = True
-        if not better:
-            break
     return order
 
 
 def propose_stop_order(
-    planned: DataFrame, lines: DataFrame, block_rows: int = 256, passes: int = 20
+    planned: DataFrame, lines: DataFrame, block_rows: int = 256
 ) -> DataFrame:
     """Stops of every route in a proposed order (``proposed_position``).
 
@@ -176,7 +175,7 @@ def propose_stop_order(
             lat, lng = xy[:, 0], xy[:, 1]
             start = cost(_km(a, b, lat, lng), depot if opening else delivery)
             between = cost(_km(lat[:, None], lng[:, None], lat, lng), delivery)
-            found.append(improve_order(start, between, passes))
+            found.append(improve_order(start, between))
         return pd.Series(found)
 
     moved = ["position", "stop_id", "lat", "lng", "to_zone_id", *schemas.LOAD_COLUMNS]

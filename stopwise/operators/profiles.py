@@ -51,8 +51,8 @@ def station_catalogue(profile: DataFrame) -> DataFrame:
     return profile.select("station_code", "segments").orderBy(F.desc("segments"), "station_code")
 
 
-def route_catalogue(gold: DataFrame, station: str | None = None, limit: int | None = 20):
-    """Routes of the bank, optionally of one station, in id order; ``limit`` None lists them all."""
+def route_catalogue(gold: DataFrame, station: str | None = None, limit: int | None = None):
+    """Routes of the bank, optionally of one station, in id order; a ``limit`` cuts the list."""
     rows = gold if station is None else gold.filter(F.col("station_code") == station)
     out = rows.groupBy("route_id").agg(
         F.max("station_code").alias("station_code"),

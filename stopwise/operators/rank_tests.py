@@ -85,10 +85,10 @@ def mann_whitney(df: DataFrame, value: str, flag: str) -> DataFrame:
     )
 
 
-def kruskal_wallis(df: DataFrame, value: str, group: str, min_n: int = 500) -> DataFrame:
-    """H over the groups with more than ``min_n`` rows."""
+def kruskal_wallis(df: DataFrame, value: str, group: str, min_n: int = 1) -> DataFrame:
+    """H over the groups with ``min_n`` rows or more."""
     known = df.filter(F.col(value).isNotNull()).select(value, group)
-    large = known.groupBy(group).agg(F.count("*").alias("_n")).filter(F.col("_n") > min_n)
+    large = known.groupBy(group).agg(F.count("*").alias("_n")).filter(F.col("_n") >= min_n)
     rows = known.join(large.select(group), group, "left_semi")
     ranks = ranked_values(rows, value, carry=[group])
     n = F.col("n")

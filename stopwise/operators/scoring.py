@@ -19,13 +19,15 @@ def score_lines(df: DataFrame, lines: DataFrame) -> DataFrame:
 
 
 def score_segments(df: DataFrame, models: dict[int, PipelineModel]) -> DataFrame:
-    """Each row by the model of its population, floored at zero. Keys are 0 and 1."""
-    out = None
+    """Each row by the model of its population, floored at zero. Rows of an unknown population, or
+    of one without a model, stay with a null prediction."""
+    known = F.coalesce(F.col(POP).isin(*models), F.lit(False))
+    out = df.filter(~known).withColumn("prediction", F.lit(None).cast("double"))
     for flag, model in models.items():
         part = model.transform(df.filter(F.col(POP) == flag)).select(
             *df.columns, clip_non_negative(F.col("prediction")).alias("prediction")
         )
-        out = part if out is None else out.unionByName(part)
+        out = out.unionByName(part)
     return out
 
 

@@ -367,7 +367,7 @@ def _(k):
 @query("route_catalogue", "hold", """
 SELECT route_id, max(station_code) AS station_code, max(segment_position) AS segment_count,
   max(departure_hour) AS departure_hour, max(weekday) AS weekday, max(route_date) AS route_date
-FROM hold GROUP BY 1 ORDER BY 1 LIMIT 20""")
+FROM hold GROUP BY 1""")
 def _(k):
     return profiles.route_catalogue(k.get("holdout"))
 

@@ -31,7 +31,7 @@ def _(k):
     """Held-out segments without their target, arriving as files."""
     source, out, checkpoint = (new_path(k.spark, f"stream-{n}") for n in ("in", "out", "state"))
     rows = k.get("holdout").drop("travel_time_seconds")
-    rows.repartition(4).write.parquet(source)
+    rows.write.parquet(source)
     stream = score.read_segment_stream(k.spark, source, rows.schema)
     score.run_to_files(scored_columns(score.score_stream(stream, k.get("lines"))), out, checkpoint)
     return k.spark.read.schema(
