@@ -163,9 +163,9 @@ def folded(nodes: list) -> list:
     period = 1
     while period <= len(nodes) // 2:
         k, changed = 0, False
-        while k + 2 * period <= len(nodes):
+        while k < len(nodes):
             one, two = nodes[k : k + period], nodes[k + period : k + 2 * period]
-            if [x[0] for x in one] == [x[0] for x in two] and "()" not in {x[0] for x in one}:
+            if len(two) == period and [x[0] for x in one] == [x[0] for x in two] and "()" not in {x[0] for x in one}:
                 pairs = [merged_node(x, y) for x, y in zip(one, two)]
                 if period == 1:
                     pairs[0][1] |= 2

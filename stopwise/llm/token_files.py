@@ -11,6 +11,7 @@ every document, as one zstandard frame of 64-bit integers.
 import struct
 import sys
 import types
+import unicodedata
 import uuid
 import zlib
 
@@ -193,7 +194,10 @@ def _parts(word: str) -> tuple[str, str]:
         return word, ""
     word = word.translate(LOWER)
     core = word.rstrip(".,;:!?")
-    return (core, word[len(core) :]) if core[-1:].isalpha() or core[-1:].isdecimal() else (word, "")
+    last = core[-1:]
+    if not last.isascii():  # may become a letter with a mark
+        last = unicodedata.normalize("NFC", last).lower()
+    return (core, word[len(core) :]) if last.isalpha() or last.isdecimal() else (word, "")
 
 
 def encoder_of(path: str) -> Encoder:

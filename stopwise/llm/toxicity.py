@@ -10,6 +10,7 @@ from collections import defaultdict
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -23,6 +24,7 @@ RARE = 4
 ATTENTION = 8
 WINDOW = 64
 STRIDE = 48
+PART = 1024  # windows whose states are kept at once in training
 # letters in lower case, blanks for all other ASCII
 LETTERS = bytes(i if i > 127 or chr(i).isalpha() else 32 for i in range(256)).lower()
 
@@ -200,6 +202,11 @@ class Network:
         g["grams"] = _sums(words.grams, shares[words.owners], 1 << ROW_BITS)
         return g
 
+    def logits(self, x: np.ndarray, ids: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+        """Logits of any number of windows, some thousands at a time."""
+        parts = [self.forward(x, ids[i : i + 4 * PART], sizes[i : i + 4 * PART]) for i in range(0, len(ids), 4 * PART)]
+        return np.concatenate(parts)
+
     def scores(self, texts: list[bytes | None]) -> np.ndarray:
         """Score of every text: the largest of its windows'."""
         if not texts:
@@ -208,9 +215,7 @@ class Network:
         x = self.inputs(words)
         ids, sizes, owners = words.windows()
         best = np.full(len(texts), -np.inf)
-        for at in range(0, len(ids), 4096):
-            part = slice(at, at + 4096)
-            np.maximum.at(best, owners[part], self.forward(x, ids[part], sizes[part]))
+        np.maximum.at(best, owners, self.logits(x, ids, sizes))
         return 1 / (1 + np.exp(-best))
 
 
@@ -242,14 +247,18 @@ def train(texts: list[bytes | None], labels: np.ndarray, epochs: int = 9, batch:
             x = net.inputs(words)
             ids, sizes, owners = words.windows()
             if epoch >= warm:
-                logits = net.forward(x, ids, sizes)
+                logits = net.logits(x, ids, sizes)
                 by_text = np.lexsort((-logits, owners))
                 top = by_text[np.concatenate([[True], owners[by_text][1:] != owners[by_text][:-1]])]
                 ids, sizes, owners = ids[top], sizes[top], owners[top]
-            logits, kept = net.forward(x, ids, sizes, keep=True)
-            share = 1 / np.bincount(owners)[owners]
-            error = (1 / (1 + np.exp(-logits)) - labels[chosen][owners]) * share * weights[chosen][owners] / len(chosen)
-            grads = net.gradients(words, x, ids, sizes, error.astype(np.float32), kept)
+            share = weights[chosen][owners] / np.bincount(owners)[owners] / len(chosen)
+            grads: dict = {}
+            for some in range(0, len(ids), PART):
+                part = slice(some, some + PART)
+                logits, kept = net.forward(x, ids[part], sizes[part], keep=True)
+                error = (1 / (1 + np.exp(-logits)) - labels[chosen][owners[part]]) * share[part]
+                new = net.gradients(words, x, ids[part], sizes[part], error.astype(np.float32), kept)
+                grads = {k: g + grads[k] for k, g in new.items()} if grads else new
             step += 1
             now = rate * (1 - 0.9 * epoch / epochs)
             for k, g in grads.items():
@@ -267,7 +276,7 @@ def held_out(doc_id: Column) -> Column:
 
 def fit_toxicity(documents: DataFrame, labels: DataFrame, per_class: int = 1200, epochs: int = 9) -> Network | None:
     """Network fitted on at most ``per_class`` labelled documents of either class: those with the
-    smallest hash of their id, never held-out ones. That bound is all that reaches the driver.
+    smallest hash of their id, never held-out ones.
     Without labelled documents there is none."""
     usable = labels.where(~held_out(F.col("doc_id")) & F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull())
     usable = usable.groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
@@ -278,14 +287,27 @@ def fit_toxicity(documents: DataFrame, labels: DataFrame, per_class: int = 1200,
     if not chosen:
         return None
     spark = documents.sparkSession
-    ids = spark.createDataFrame([(i,) for i in sorted(chosen)], "doc_id long")
+    ids = spark.createDataFrame(sorted(chosen.items()), "doc_id long, toxic int")
     sample = documents.select("doc_id", F.col("text").cast("binary").alias("text"))
-    sample = sample.join(F.broadcast(ids), "doc_id", "left_semi").collect()
-    if not sample:
+    sample = sample.join(F.broadcast(ids), "doc_id").select("doc_id", "toxic", "text")
+
+    def fit(batches):
+        rows = [r for batch in batches for r in zip(*(c.to_pylist() for c in batch.columns))]
+        if rows:
+            rows.sort(key=lambda r: (r[0], r[2] or b""))
+            net = train([r[2] for r in rows], np.array([r[1] for r in rows], np.float32), epochs)
+            for name, values in net.p.items():
+                yield pa.RecordBatch.from_pydict(
+                    {"name": [name], "shape": pa.array([values.shape], pa.list_(pa.int32())), "raw": [values.tobytes()]}
+                )
+
+    # the sample is bounded, so one task of an executor holds it
+    fitted = sample.repartition(1).mapInArrow(fit, "name string, shape array<int>, raw binary").collect()
+    if not fitted:
         return None
-    sample.sort(key=lambda r: (r["doc_id"], bytes(r["text"] or b"")))
-    texts = [bytes(r["text"] or b"") for r in sample]
-    return train(texts, np.array([chosen[r["doc_id"]] for r in sample], np.float32), epochs)
+    net = Network()
+    net.p = {r["name"]: np.frombuffer(r["raw"], np.float32).reshape(r["shape"]) for r in fitted}
+    return net
 
 
 def score_toxicity(documents: DataFrame, network: Network | None) -> DataFrame:
