@@ -57,21 +57,23 @@ def relative_bias(oof: DataFrame, threshold: float = 3.0) -> DataFrame:
 def worst_predictions(oof: DataFrame, k: int = 15) -> DataFrame:
     """The k largest residuals: a top-k per task, then one merge."""
     residual = F.col(Y) - F.col("prediction")
-    return (
-        oof.withColumn("_r", residual)
-        .orderBy(F.abs("_r").desc(), "route_id", "segment_position")
-        .limit(k)
-        .select(
-            "route_id",
-            "segment_position",
-            "station_code",
-            "is_depot_segment",
-            F.round(F.col(Y) / 60, 2).alias("real_min"),
-            F.round(F.col("prediction") / 60, 2).alias("predicted_min"),
-            F.round(F.col("_r") / 60, 2).alias("residual_min"),
-            "segment_distance_km",
-            "same_zone",
-        )
+    worst = oof.orderBy(F.abs(residual).desc(), "route_id", "segment_position").limit(k)
+    return in_minutes(worst)
+
+
+def in_minutes(oof: DataFrame) -> DataFrame:
+    """Predictions as people read them."""
+    residual = F.col(Y) - F.col("prediction")
+    return oof.select(
+        "route_id",
+        "segment_position",
+        "station_code",
+        "is_depot_segment",
+        F.round(F.col(Y) / 60, 2).alias("real_min"),
+        F.round(F.col("prediction") / 60, 2).alias("predicted_min"),
+        F.round(residual / 60, 2).alias("residual_min"),
+        "segment_distance_km",
+        "same_zone",
     )
 
 

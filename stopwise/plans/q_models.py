@@ -254,11 +254,10 @@ def _(k):
 
 @query("suspicious_speed", "oof_", f"""
 SELECT * EXCLUDE (v), {half_up("v", 4)} AS speed_kmh FROM (
-  SELECT *, segment_distance_km / (real_min / 60) AS v FROM ({WORST.format(n=1000)}) w
+  SELECT *, segment_distance_km / (real_min / 60) AS v FROM ({WORST.partition("ORDER BY")[0]}) w
   WHERE real_min > 0) x WHERE v < 3 AND segment_distance_km > 0.1""")
 def _(k):
-    worst = errors.worst_predictions(k.get("oof"), 1000)
-    return rounded(errors.suspicious_speed(worst), 4, "speed_kmh")
+    return rounded(errors.suspicious_speed(errors.in_minutes(k.get("oof"))), 4, "speed_kmh")
 
 
 @query("zone_encoding", "tf", """

@@ -195,9 +195,26 @@ def test_two_opt_is_a_permutation_and_no_worse():
     def total(order):
         return start[order[0]] + between[order[:-1], order[1:]].sum()
 
-    greedy = planning.improve_order(start, between, 0)
-    better = planning.improve_order(start, between, 50)
-    assert sorted(better) == list(range(40)) and total(better) <= total(greedy) + 1e-9
+    better = planning.improve_order(start, between)
+    assert sorted(better) == list(range(40)) and total(better) <= total(np.arange(40)) + 1e-9
+    # no reversal of a run of stops is left that would help
+    for i in range(39):
+        for j in range(i + 1, 40):
+            other = np.concatenate([better[:i], better[i : j + 1][::-1], better[j + 1 :]])
+            assert total(other) >= total(better) - 1e-9
+
+
+def test_trees_keep_rows_with_unknown_values(spark):
+    from stopwise.operators import boosted, scoring
+
+    rows = [(f"R{i}", i, float(i % 7) if i % 5 else None, 1.0 if i % 3 else None, float(i % 7 * 10), i % 2 if i % 11 else None) for i in range(200)]
+    df = spark.createDataFrame(rows, "route_id string, segment_position int, a double, b double, travel_time_seconds double, is_depot_segment int")
+    model = boosted.regressor(["a", "b"], trees=3, depth=3, loss="squared").fit(df)
+    assert model.transform(df).filter("prediction IS NOT NULL").count() == 200
+    assert len(boosted.importance(model, ["a", "b"])) == 2
+    scored = scoring.score_segments(df, {0: model})
+    assert scored.count() == 200
+    assert scored.filter("prediction IS NOT NULL").count() == df.filter("is_depot_segment = 0").count()
 
 
 @pytest.mark.parametrize("block", [4, 256])
