@@ -8,6 +8,7 @@ then only the frames of the documents it wants. The index holds doc_id, start an
 every document, as one zstandard frame of 64-bit integers.
 """
 
+import string
 import struct
 import sys
 import types
@@ -143,7 +144,7 @@ class Encoder:
     when there are over ``words`` of them, and back when they are met again.
     """
 
-    def __init__(self, path: str, words: int = 250_000):
+    def __init__(self, path: str, words: int = 800_000):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
@@ -153,12 +154,11 @@ class Encoder:
 
     def encode(self, text: str | None, end: int) -> np.ndarray:
         words = (text or "").replace("\n", " ").split(" ")
-        known = self.known
         try:
-            ids = [known[w] for w in words]
+            ids = list(map(self.known.__getitem__, words))
         except KeyError:
             self._learn(set(words))
-            ids = [self.known[w] for w in words]
+            ids = list(map(self.known.__getitem__, words))
         ids.append(struct.pack("<I", end))
         return np.frombuffer(b"".join(ids), "<u4")
 
@@ -166,12 +166,14 @@ class Encoder:
         if len(self.known) > self.words:
             self.older, self.known = self.known, {}
         known, older = self.known, self.older
-        missing = [w for w in words if w not in known]
-        known.update((w, older[w]) for w in missing if w in older)
-        parts = {w: _parts(w) for w in missing if w not in older}
-        found = {p for both in parts.values() for p in both if p not in known}
-        known.update((p, older[p]) for p in found if p in older)
-        new = [p for p in found if p not in older]
+        missing = words.difference(known)
+        unknown = missing.difference(older)
+        known.update((w, older[w]) for w in missing - unknown)
+        parts = [(w, *_parts(w)) for w in unknown]
+        found = {p for _, *both in parts for p in both}.difference(known)
+        unknown = found.difference(older)
+        known.update((p, older[p]) for p in found - unknown)
+        new = list(unknown)
         for at in range(0, len(new), 4096):
             part = new[at : at + 4096]
             e = self.tokenizer.encode(" ".join(part), add_special_tokens=False)
@@ -180,7 +182,7 @@ class Encoder:
             ends = np.searchsorted(places, np.cumsum([len(p) + 1 for p in part]))
             for p, i, j in zip(part, [0, *ends[:-1].tolist()], ends.tolist()):
                 known[p] = ids[i:j].tobytes()
-        for w, (core, tail) in parts.items():
+        for w, core, tail in parts:
             known[w] = known[core] + known[tail] if tail else known[core]
 
     def size(self) -> int:
@@ -192,8 +194,8 @@ def _parts(word: str) -> tuple[str, str]:
     with other signs before the punctuation, stay whole."""
     if "<|" in word:
         return word, ""
-    word = word.translate(LOWER)
-    core = word.rstrip(".,;:!?")
+    word = word.lower() if word.isascii() else word.translate(LOWER)
+    core = word.rstrip(string.punctuation)
     last = core[-1:]
     if not last.isascii():  # may become a letter with a mark
         last = unicodedata.normalize("NFC", last).lower()

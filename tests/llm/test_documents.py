@@ -195,7 +195,8 @@ def test_token_files(spark, docs, none, tmp_path):
     public = pytest.importorskip("public_tokenizers")
     path = public.path("word_bpe_49k.json")
     whole = tokenizers.Tokenizer.from_file(path)
-    odd = ["a\tb", "x <|endoftext|> Y.", "<|ENDOFTEXT|>", "ΣΑΣ Σ.", "é ́x", "don't I'LL 12a3", "foo).,", "日本", "m²,", "İ."]
+    odd = ["a\tb", "x <|endoftext|> Y.", "<|ENDOFTEXT|>", "ΣΑΣ Σ.", "é ́x", "don't I'LL 12a3", "foo).,", "日本", "m²,", "İ.",
+           "RAESUE%%%", "Boats'", "x's!!'", "a_b_", "é&&&'", "'", "7''s", "don't'!", "ß`", "x''re."]
     encoder = token_files.Encoder(path, words=50)
     for text in odd + [t for t in texts() if t]:
         assert encoder.encode(text, 1).tolist() == whole.encode(text, add_special_tokens=False).ids + [1]
