@@ -291,7 +291,8 @@ def read_token_files(files: DataFrame, folder: str) -> DataFrame:
                             }
                         )
 
-    listed = files.select("path", "base").repartition("path")
+    # a stated number of tasks: by size, adaptive execution would read all files in one
+    listed = files.select("path", "base").repartition(max(1, files.count()))
     return listed.mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
