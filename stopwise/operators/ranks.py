@@ -9,6 +9,8 @@ from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from stopwise.workspace import staged
+
 MAX_PIECES = 1024
 
 
@@ -37,7 +39,7 @@ def ranked_values(
     by, carry = by or [], carry or []
     rows = with_bucket(df.filter(F.col(value).isNotNull()), value)
     counts = rows.groupBy(*by, "_bucket", *carry, value).agg(F.count("*").alias("n"))
-    totals = rows.groupBy(*by, "_bucket").agg(F.count("*").alias("_b"))
+    totals = counts.groupBy(*by, "_bucket").agg(F.sum("n").alias("_b"))
     past = Window.partitionBy(*by).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     totals = totals.select(
         *by, "_bucket", F.coalesce(F.sum("_b").over(past), F.lit(0)).alias("_before")
@@ -67,7 +69,8 @@ def percentiles(
 ) -> DataFrame:
     """Exact linear-interpolated percentiles, one column per entry of ``probs``.
 
-    Only the buckets that hold a wanted rank are sorted.
+    Only the rows of buckets that hold a wanted rank are counted by value and sorted. These buckets
+    are written first, so that their size decides whether the rows stay where they are.
     """
     by = by or []
     rows = with_bucket(df.filter(F.col(value).isNotNull()), value)
@@ -90,11 +93,12 @@ def percentiles(
     for r in ranks:
         inside = (r >= F.col("_before")) & (r < F.col("_before") + F.col("_b"))
         wanted = inside if wanted is None else wanted | inside
-    counts = rows.groupBy(*by, "_bucket", value).agg(F.count("*").alias("_n"))
+    hit = staged(totals.filter(wanted), "wanted-buckets")
+    kept = rows.select(*by, "_bucket", value).join(hit, [*by, "_bucket"])
+    counts = kept.groupBy(*by, "_bucket", "_before", "_total", value).agg(F.count("*").alias("_n"))
     w = Window.partitionBy(*by, "_bucket").orderBy(value)
     placed = (
-        counts.join(totals.filter(wanted), [*by, "_bucket"])
-        .withColumn("_hi", F.col("_before") + F.sum("_n").over(w))
+        counts.withColumn("_hi", F.col("_before") + F.sum("_n").over(w))
         .withColumn("_lo", F.col("_hi") - F.col("_n"))
     )
 
