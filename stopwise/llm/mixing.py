@@ -87,13 +87,17 @@ def schedule(targets: DataFrame, slots: int) -> DataFrame:
     )
 
 
-def mix(documents: DataFrame, weights: tuple[int, ...] = (1, 2, 3)) -> DataFrame:
+def mix(
+    documents: DataFrame, weights: tuple[int, ...] = (1, 2, 3), settle: bool = False, block: int | None = None
+) -> DataFrame:
     """doc_id, source, size, source_size, target, taken for every document.
 
     Weights are dealt to the sources by code point, null last, repeating. A null text has size 0;
     documents of size 0 take 0; repeated rows are documents of their own; an empty table gives an
     empty result. Other columns of the input are not read. Blocks hold 4096 words, fewer in small
-    corpora so that there are about a million slots.
+    corpora so that there are about a million slots, or ``block``. Whole blocks give a source up to
+    some blocks more or less than its target, and may give one shorter than a block nothing.
+    ``settle`` ends every source at its rounded target instead, within the block where that lies.
     """
     docs = staged(
         documents.select(
@@ -106,8 +110,26 @@ def mix(documents: DataFrame, weights: tuple[int, ...] = (1, 2, 3)) -> DataFrame
     )
     sizes = docs.groupBy("source").agg(F.sum("size").alias("source_size"))
     targets = staged(source_targets(sizes, weights), "mix-targets")
+    named = docs.join(
+        targets.select(F.col("source").alias("_source"), "number", "source_size", "target"),
+        docs["source"].eqNullSafe(F.col("_source")),
+    ).drop("_source")
+    placed = running_before(
+        staged(named, "mix-named"), "number", "key", [F.col("doc_id"), F.col("size")],
+        F.col("size"), digits_for(docs.count() // 4), "start",
+    )
+    end = F.col("start") + F.col("size")
+    kept = ["doc_id", "source", "size", "source_size", "target"]
+    if settle:
+        # a source gives its blocks in order, again and again: what it gives is its first ``goal`` words
+        goal = F.least(F.round("target").cast("long"), F.col("source_size") * REPEATS)
+        rest = F.when(F.col("source_size") > 0, F.col("_goal") % F.col("source_size"))
+        again = F.expr("_goal div nullif(source_size, 0)") * F.col("size")
+        part = F.greatest(F.least(end, rest) - F.col("start"), F.lit(0))
+        taken = F.when(F.col("size") > 0, (again + part).cast("long")).otherwise(F.lit(0).cast("long"))
+        return placed.withColumn("_goal", goal).select(*kept, taken.alias("taken"))
     total = targets.agg(F.coalesce(F.sum("source_size"), F.lit(0))).first()[0]
-    block = min(4096, max(1, total >> 20))
+    block = block or min(4096, max(1, total >> 20))
     blocks = F.ceil(F.col("source_size") / block)
     uses = (
         schedule(targets, -(-total // block))
@@ -116,21 +138,11 @@ def mix(documents: DataFrame, weights: tuple[int, ...] = (1, 2, 3)) -> DataFrame
         .groupBy("number", (F.col("rank") % blocks).alias("block"))
         .agg(F.count("*").alias("uses"))
     )
-    named = docs.join(
-        targets.select(F.col("source").alias("_source"), "number", "source_size", "target"),
-        docs["source"].eqNullSafe(F.col("_source")),
-    ).drop("_source")
-    placed = running_before(
-        staged(named, "mix-named"), "number", "key", [F.col("doc_id"), F.col("size")],
-        F.col("size"), digits_for(docs.count() // 4), "start",
-    )
     placed = staged(placed, "mix-placed")
-    end = F.col("start") + F.col("size")
     pieces = placed.where("size > 0").withColumn(
         "block", F.explode(F.sequence(F.floor(F.col("start") / block), F.floor((end - 1) / block)))
     )
     overlap = F.least(end, (F.col("block") + 1) * block) - F.greatest("start", F.col("block") * block)
-    kept = ["doc_id", "source", "size", "source_size", "target"]
     # documents with words start at different places of their source
     taken = (
         pieces.join(uses, ["number", "block"], "left")
@@ -144,10 +156,10 @@ def mix(documents: DataFrame, weights: tuple[int, ...] = (1, 2, 3)) -> DataFrame
 
 def mixed_documents(documents: DataFrame) -> DataFrame:
     """The mix as rows: every document as often as the mix takes it, rounded to whole documents.
-    A document without words stays once. Columns and texts are those of the input; the columns
+    Sources are settled at their targets. A document without words stays once. Columns and texts are those of the input; the columns
     doc_id, source and text must be there, names with an underscore first must not. Repeated rows of one doc_id share their mean share."""
     ratio = F.when(F.sum("size") > 0, F.sum("taken") / F.sum("size")).otherwise(F.lit(1.0))
-    shares = mix(documents).groupBy(F.col("doc_id").alias("_id")).agg(F.round(ratio).cast("int").alias("_copies"))
+    shares = mix(documents, settle=True).groupBy(F.col("doc_id").alias("_id")).agg(F.round(ratio).cast("int").alias("_copies"))
     joined = documents.join(shares, documents["doc_id"].eqNullSafe(F.col("_id")))
     copies = joined.where("_copies > 0").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies"))))
     return copies.select(*[documents[c] for c in documents.columns])
