@@ -5,7 +5,7 @@ tandem repeats into repeated groups. The expressions of a host are then aligned
 what both have is merged, what only one has becomes optional, neighbours that became alike become a
 repeated group, and differing texts are slots. The host's wrapper so describes all its pages. Each
 slot of it is judged once, as main text or as part of the frame around it, and every page is read
-with the slots of its host's wrapper.
+with the best choice of slots of its host's wrapper that it has.
 """
 
 import functools
@@ -211,30 +211,33 @@ def slots(nodes: list, path: tuple[str, ...] = ()):
             yield from slots(children, path if label == "()" else (*path, label))
 
 
-def main_slots(nodes: list, constant: set[tuple[str, ...]]) -> list[tuple[str, ...]]:
-    """The slots that hold main text. With an article or main element on the host's pages it is what
-    these hold; else elements named as content; else all slots whose text is not the same on all
-    pages, or all. What frames a page is never main text."""
+def main_slots(nodes: list, constant: set[tuple[str, ...]]) -> list[list[tuple[str, ...]]]:
+    """The slots that may hold main text, the best choice first; a page is read with the first choice
+    it has text in. What an article or main element holds comes first; then elements named as content;
+    then all slots whose text is not the same on all pages, then all. What frames a page is never
+    main text."""
     paths = [p for p in dict.fromkeys(slots(nodes)) if not _framed(p)]
-    for inside in (
-        lambda p: any(x.split(".")[0] in ("article", "main") for x in p),
-        lambda p: any(MAIN_WORDS & set(x.split(".")[1:]) for x in p),
-        lambda p: p not in constant and not _outer(p),
-        lambda p: not _outer(p),
-    ):
-        chosen = [p for p in paths if inside(p)]
-        if chosen:
-            return chosen
-    return []
+    choices = [
+        [p for p in paths if inside(p)]
+        for inside in (
+            lambda p: any(x.split(".")[0] in ("article", "main") for x in p),
+            lambda p: any(MAIN_WORDS & set(x.split(".")[1:]) for x in p),
+            lambda p: p not in constant and not _outer(p),
+            lambda p: not _outer(p),
+        )
+    ]
+    return [c for c in choices if c]
 
 
 def _framed(path: tuple[str, ...]) -> bool:
     held = False
     for label in path:
         name, *words = label.split(".")
+        if name in ("html", "body"):
+            continue  # their words are about the whole page
         if name in OPAQUE or name in FRAME or FRAME_WORDS & set(words):
             return True
-        if not held and (name == "header" or OUTER_WORDS & set(words)) and name != "body":
+        if not held and (name == "header" or OUTER_WORDS & set(words)):
             return True
         held = held or name in ("article", "main")
     return False
@@ -245,8 +248,8 @@ def _outer(path: tuple[str, ...]) -> bool:
 
 
 def learn(pages: DataFrame) -> DataFrame:
-    """(host, wrapper, path, low, high) of pages with columns host and html: the distinct page
-    expressions, and for every slot the smallest and largest hash of its text."""
+    """(host, wrapper, path, low, high, first, last) of pages with columns host and html: the distinct
+    page expressions, and for every slot the smallest and largest hash of its text and of its pages."""
 
     def run(batches):
         for batch in batches:
@@ -254,22 +257,25 @@ def learn(pages: DataFrame) -> DataFrame:
             for host, page in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 found = [b for b in blocks(page or "") if b[2].strip()]
                 wrappers.add((host, json.dumps(expression([b[:2] for b in found]))))
+                whole = xxhash.xxh64_intdigest(page or "") >> 1
                 together: dict = {}
                 for p, _, t in found:
                     together.setdefault(p, []).append(t)
                 for p, t in together.items():
                     h = xxhash.xxh64_intdigest(tidy(" ".join(t))) >> 1
-                    low, high = texts.get((host, p), (h, h))
-                    texts[host, p] = (min(low, h), max(high, h))
-            rows = [(h, w, None, None, None) for h, w in sorted(wrappers)]
-            rows += [(h, None, "\n".join(p), low, high) for (h, p), (low, high) in texts.items()]
-            kinds = [pa.string(), pa.string(), pa.string(), pa.int64(), pa.int64()]
-            columns = list(zip(*rows)) or [()] * 5
+                    low, high, first, last = texts.get((host, p), (h, h, whole, whole))
+                    texts[host, p] = (min(low, h), max(high, h), min(first, whole), max(last, whole))
+            rows = [(h, w, *[None] * 5) for h, w in sorted(wrappers)]
+            rows += [(h, None, "\n".join(p), *ends) for (h, p), ends in texts.items()]
+            kinds = [pa.string(), pa.string(), pa.string(), *[pa.int64()] * 4]
+            columns = list(zip(*rows)) or [()] * 7
             yield pa.RecordBatch.from_arrays(
-                [pa.array(c, k) for c, k in zip(columns, kinds)], names=["host", "wrapper", "path", "low", "high"]
+                [pa.array(c, k) for c, k in zip(columns, kinds)],
+                names=["host", "wrapper", "path", "low", "high", "first", "last"],
             )
 
-    return pages.select("host", "html").mapInArrow(run, "host string, wrapper string, path string, low long, high long")
+    schema = "host string, wrapper string, path string, low long, high long, first long, last long"
+    return pages.select("host", "html").mapInArrow(run, schema)
 
 
 def host_wrappers(expressions: DataFrame, fan_in: int = 32) -> DataFrame:
@@ -296,8 +302,8 @@ def host_wrappers(expressions: DataFrame, fan_in: int = 32) -> DataFrame:
 
 
 @functools.lru_cache(10_000)
-def _chosen(main: str) -> frozenset:
-    return frozenset(tuple(p) for p in json.loads(main))
+def _chosen(main: str) -> list[frozenset]:
+    return [frozenset(tuple(p) for p in choice) for choice in json.loads(main)]
 
 
 def extract_text(pages: DataFrame, url_column: str = "url", html_column: str = "html") -> DataFrame:
@@ -311,8 +317,11 @@ def extract_text(pages: DataFrame, url_column: str = "url", html_column: str = "
     named = pages.drop("text", "n_chars", "_h", "_main").withColumn("_host", host_of(F.col(url_column)))
     learned = staged(learn(named.select(F.col("_host").alias("host"), F.col(html_column).alias("html"))), "page-slots")
     wrappers = host_wrappers(learned.where("wrapper IS NOT NULL").select("host", "wrapper"))
-    constant = learned.where("path IS NOT NULL").groupBy("host", "path").agg(F.min("low").alias("low"), F.max("high").alias("high"))
-    constant = constant.where("low = high").groupBy(F.col("host").alias("_h")).agg(F.collect_list("path").alias("paths"))
+    constant = learned.where("path IS NOT NULL").groupBy("host", "path").agg(
+        F.min("low").alias("low"), F.max("high").alias("high"), F.min("first").alias("first"), F.max("last").alias("last")
+    )
+    # one page says nothing about what its host's pages have in common
+    constant = constant.where("low = high AND first < last").groupBy(F.col("host").alias("_h")).agg(F.collect_list("path").alias("paths"))
 
     def judge(batches):
         for batch in batches:
@@ -327,9 +336,12 @@ def extract_text(pages: DataFrame, url_column: str = "url", html_column: str = "
     specs = staged(judged.mapInArrow(judge, "_h string, _main string"), "host-slots")
 
     def read_page(page: str | None, main: str | None) -> str:
-        chosen = _chosen(main or "[]")
-        found = [tidy(t) for p, _, t in blocks(page or "") if p in chosen]
-        return "\n\n".join([t for t in found if t])
+        found = list(blocks(page or ""))
+        for chosen in _chosen(main or "[]"):
+            texts = [t for t in [tidy(t) for p, _, t in found if p in chosen] if t]
+            if texts:
+                return "\n\n".join(texts)
+        return ""
 
     @F.pandas_udf("string")
     def text_of(page, main):
