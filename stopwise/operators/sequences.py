@@ -30,3 +30,15 @@ def route_sequences(df: DataFrame, features: list[str], rows: int = 4096) -> Dat
         F.col("s.y").alias("y"),
         F.col("s.population").alias("population"),
     )
+
+
+def whole_routes(chunks: DataFrame) -> DataFrame:
+    """One row per route, its chunks put together in their order."""
+    lists = ["x", "y", "population"]
+    packed = chunks.groupBy("route_id", "station_code").agg(
+        F.sum("length").cast("int").alias("length"),
+        F.sort_array(F.collect_list(F.struct("chunk", *lists))).alias("c"),
+    )
+    return packed.select(
+        "route_id", "station_code", "length", *[F.flatten(F.col(f"c.{n}")).alias(n) for n in lists]
+    )

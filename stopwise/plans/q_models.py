@@ -312,10 +312,10 @@ SELECT route_id, station_code, length, x, y, population FROM (
     list(is_depot_segment ORDER BY segment_position) AS population
   FROM g_seg GROUP BY 1, 2) t""")
 def _(k):
-    out = sequences.route_sequences(
+    chunks = sequences.route_sequences(
         k.get("gold_segments"), ["segment_distance_km", "packages_at_destination"]
     )
-    return out.select(
+    return sequences.whole_routes(chunks).select(
         "route_id",
         "station_code",
         "length",
