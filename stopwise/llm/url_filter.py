@@ -35,7 +35,9 @@ def host_of(url: Column) -> Column:
 
 
 def path_of(url: Column) -> Column:
-    return F.regexp_extract(F.coalesce(url, F.lit("")), r"(?s)^.*?://[^/?#]*(/[^?#]*)", 1)
+    # the first :// only: without a slash behind its host the path is empty
+    rest = F.regexp_extract(F.coalesce(url, F.lit("")), r"(?s)^.*?://(.*)\z", 1)
+    return F.regexp_extract(rest, r"(?s)^[^/?#]*(/[^?#]*)", 1)
 
 
 def keys_of(host: Column, path: Column, lengths: list[int]) -> Column:
