@@ -1,5 +1,7 @@
 """Queries of splits, baselines, errors and boosted trees."""
 
+from multiprocessing.pool import ThreadPool
+
 from pyspark.sql import functions as F
 
 from stopwise import schemas
@@ -391,7 +393,7 @@ def _(k):
 
 # ---- boosted trees ----
 
-SMALL = {"trees": 8, "depth": 4}
+FOLDS = 5
 _runs: dict = {}
 
 
@@ -400,9 +402,9 @@ def candidate_run(k):
     key = (k.spark.sparkContext.applicationId, k.sf_dir)
     if key not in _runs:
         rows = k.get("train").join(
-            splits.group_folds(k.get("train"), 2).select("route_id", "fold"), "route_id"
+            splits.group_folds(k.get("train"), FOLDS).select("route_id", "fold"), "route_id"
         )
-        predictions, gains = boosted.candidate_predictions(staged(rows, "candidates"), 2, **SMALL)
+        predictions, gains = boosted.candidate_predictions(staged(rows, "candidates"), FOLDS)
         _runs[key] = staged(predictions, "candidate-predictions"), gains
     return _runs[key]
 
@@ -416,7 +418,7 @@ def _(k):
     train, test = encoded_sides(k)
     out = None
     for loss in ("absolute", "squared"):
-        model = boosted.boosted_single(train, loss, **SMALL)
+        model = boosted.boosted_single(train, loss)
         scored = model.transform(test).withColumn("loss", F.lit(loss))
         part = metrics.metrics_by_population(scored, Y, "prediction", ["loss"])
         out = part if out is None else out.unionByName(part)
@@ -426,20 +428,28 @@ def _(k):
 @query("boosted_by_population")
 def _(k):
     train, test = encoded_sides(k)
-    models = boosted.boosted_by_population(train, **SMALL)
+    models = boosted.boosted_by_population(train)
     return rounded(boosted.evaluate_once(models, test), 4, *METRIC)
 
 
 @query("early_stopping")
 def _(k):
     train, test = encoded_sides(k)
-    held = splits.split_validation(train)
-    depot = train.filter("is_depot_segment = 1")
-    features = [*schemas.DEPOT_NUMERIC, boosted.STATION]
-    model, trees = boosted.fit_with_early_stopping(depot, held, features, **SMALL)
-    scored = model.transform(test.filter("is_depot_segment = 1"))
-    out = metrics.metrics(scored, Y, "prediction").withColumn("trees", F.lit(trees))
-    return rounded(out, 4, *METRIC)
+    held = staged(splits.split_validation(train), "validation-routes")
+
+    def part(flag, zone):
+        features = [*boosted.FEATURES[flag], boosted.STATION, *zone]
+        rows = train.filter(F.col(boosted.POP) == flag)
+        model, trees = boosted.fit_with_early_stopping(rows, held, features)
+        scored = model.transform(test.filter(F.col(boosted.POP) == flag))
+        return metrics.metrics(scored, Y, "prediction").withColumns(
+            {boosted.POP: F.lit(flag), "trees": F.lit(trees)}
+        )
+
+    # independent fits, side by side
+    with ThreadPool(2) as pool:
+        delivery, depot = pool.starmap(part, [(0, [boosted.ZONE]), (1, [])])
+    return rounded(delivery.unionByName(depot), 4, *METRIC)
 
 
 @query("candidate_grid")

@@ -2,10 +2,9 @@
 
 from pyspark.sql import functions as F
 
-from stopwise import schemas
 from stopwise.operators import boosted, explain, joins, planning, scoring
 from stopwise.plans.catalogue import query
-from stopwise.plans.q_models import SMALL, encoded_sides
+from stopwise.plans.q_models import encoded_sides
 from stopwise.plans.q_tables import rounded
 from stopwise.streaming import score
 from stopwise.workspace import new_path
@@ -120,10 +119,13 @@ def _(k):
 
 def explained(k):
     train, test = encoded_sides(k)
-    model = boosted.boosted_by_population(train, **SMALL)[0]
-    features = [*schemas.DELIVERY_NUMERIC, boosted.STATION, boosted.ZONE]
-    delivery = test.filter("is_depot_segment = 0")
-    return explain.tree_contributions(delivery, model.stages[-1], features)
+    models = boosted.boosted_by_population(train)
+    parts = []
+    for flag, zone in ((0, [boosted.ZONE]), (1, [])):
+        features = [*boosted.FEATURES[flag], boosted.STATION, *zone]
+        rows = test.filter(F.col(boosted.POP) == flag)
+        parts.append(explain.tree_contributions(rows, models[flag].stages[-1], features))
+    return parts[0].unionByName(parts[1])
 
 
 @query("tree_contributions")
