@@ -10,6 +10,7 @@ from stopwise.llm.suffix_dedup import op9_suffix_dedup
 from stopwise.llm.token_files import op6_token_files
 from stopwise.llm.toxicity import op10_toxicity
 from stopwise.llm.url_filter import OP5_SQL, op5_url_filter
+from stopwise.llm.whitening import op13_whitening
 
 QUERIES = {
     "op1_sharding": op1_sharding,
@@ -22,5 +23,6 @@ QUERIES = {
     "op8_mixing": op8_mixing,
     "op9_suffix_dedup": op9_suffix_dedup,
     "op10_toxicity": op10_toxicity,
+    "op13_whitening": op13_whitening,
 }
 ORACLES = {"op5_url_filter": OP5_SQL, "op7_exact_dedup": OP7_SQL, "op8_mixing": OP8_SQL}
