@@ -3,6 +3,7 @@
 from stopwise.llm.decontaminate import op4_decontaminate
 from stopwise.llm.exact_dedup import OP7_SQL, op7_exact_dedup
 from stopwise.llm.html_text import op3_html_text
+from stopwise.llm.language_model import op12_lm_scoring
 from stopwise.llm.mixing import OP8_SQL, op8_mixing
 from stopwise.llm.prefix_trie import OP11_SQL, op11_prefix_trie
 from stopwise.llm.sharding import op1_sharding
@@ -25,6 +26,7 @@ QUERIES = {
     "op9_suffix_dedup": op9_suffix_dedup,
     "op10_toxicity": op10_toxicity,
     "op11_prefix_trie": op11_prefix_trie,
+    "op12_lm_scoring": op12_lm_scoring,
     "op13_whitening": op13_whitening,
 }
 ORACLES = {"op5_url_filter": OP5_SQL, "op7_exact_dedup": OP7_SQL, "op8_mixing": OP8_SQL, "op11_prefix_trie": OP11_SQL}
