@@ -4,8 +4,9 @@ A rule is a host with its subdomains and a path prefix. The keys of a url are al
 of its host and a prefix of its path of a length that some rule has; a rule fits when it is one of
 the keys. Whether a key is listed is asked of a cascade: level 1 holds the listed keys, level 2 the
 keys of the corpus that level 1 takes for listed by mistake, level 3 the listed keys that level 2
-takes for mistakes, and so on until a level makes none. Over the corpus's keys the answer is exact,
-and no row is joined with the list.
+takes for mistakes, and so on until a level makes none. Every level hashes anew, so that keys that
+meet in one level part in the next. Over the corpus's keys the answer is exact, and no row is joined
+with the list.
 """
 
 import numpy as np
@@ -67,60 +68,85 @@ class Cascade:
     """Levels of filters; ``listed`` is exact for every key of the universe it was built over."""
 
     def __init__(self):
-        self.levels: list[tuple[int, np.ndarray]] = []
+        self.levels: list[tuple[int, int, np.ndarray]] = []  # salt, size and words of the filter
 
     def listed(self, hashes: np.ndarray) -> np.ndarray:
         """The first level that does not hold a key decides: an odd one says no, an even one yes."""
         answer = np.full(len(hashes), len(self.levels) % 2 == 1)
         open_ = np.arange(len(hashes))
-        for level, (size, words) in enumerate(self.levels):
-            held = holds(size, words, hashes[open_])
+        for level, (salt, size, words) in enumerate(self.levels):
+            held = holds(salt, size, words, hashes[open_])
             answer[open_[~held]] = level % 2 == 1
             open_ = open_[held]
         return answer
 
 
-def holds(size: int, words: np.ndarray, hashes: np.ndarray) -> np.ndarray:
-    h = hashes.astype(np.uint64)
+def cells(salt: int, size: int, hashes: np.ndarray) -> list[np.ndarray]:
+    """Cells of 64-bit hashes in a filter: the salted hash is mixed one to one, and its halves are hashed doubly."""
+    # The steps of the splitmix64 generator.
+    h = hashes.astype(np.uint64) + np.uint64((salt + 1) * 0x9E3779B97F4A7C15 % (1 << 64))
+    h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    h ^= h >> np.uint64(31)
     a, b = h & np.uint64((1 << 31) - 1), (h >> np.uint64(33)) | np.uint64(1)
-    held = np.ones(len(h), bool)
-    for i in range(HASHES):
-        cell = (a + b * np.uint64(i)) & np.uint64(size - 1)
+    return [(a + b * np.uint64(i)) & np.uint64(size - 1) for i in range(HASHES)]
+
+
+def holds(salt: int, size: int, words: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    held = np.ones(len(hashes), bool)
+    for cell in cells(salt, size, hashes):
         held &= (words[cell >> np.uint64(6)] >> (cell & np.uint64(63))) & np.uint64(1) == 1
     return held
 
 
+def filter_words(keys: DataFrame, salt: int, size: int) -> np.ndarray:
+    """The filter of the keys in column ``h``, put together by Spark."""
+
+    def run(frames):
+        for frame in frames:
+            yield pd.DataFrame({"cell": np.concatenate(cells(salt, size, frame["h"].to_numpy().view(np.uint64))).view(np.int64)})
+
+    words = np.zeros(size // 64, np.uint64)
+    for row in bloom.filter_pages(keys.select("h").mapInPandas(run, "cell long"), size).toLocalIterator():
+        at = row["page"] * bloom.WORDS
+        words[at : at + bloom.WORDS] = np.array(row["words"], np.int64).view(np.uint64)
+    return words
+
+
 def build_cascade(
-    listed: DataFrame, universe: DataFrame, bits_per_key: int = 10, limit_bytes: int = 1 << 26
+    listed: DataFrame, universe: DataFrame, bits_per_key: int = 10, limit_bytes: int = 1 << 26, tries: int = 6
 ) -> Cascade:
     """Cascade over the 64-bit key hashes in column ``h`` of both tables (written, distinct).
 
     Every filter is put together by Spark and has at most ``limit_bytes`` bytes, the only data that
     reaches the driver. Keys of a level are found by testing, never by joins, except that the
-    corpus's listed keys leave the universe once.
+    corpus's listed keys leave the universe once. A level must let through at most half of the keys
+    it is asked for; one that does not is built again with another salt, ``tries`` times, and then
+    the build fails, because the list is too long for ``limit_bytes``.
     """
     cascade = Cascade()
     inside, outside = listed, staged(universe.join(listed, "h", "left_anti"), "unlisted-keys")
-    while True:
-        count = inside.count()
-        if count == 0 and cascade.levels:
-            return cascade
-        size = bloom.size_for(count, bits_per_key, limit_bytes)
-        cells = inside.select(F.explode(F.array_distinct(F.array(*bloom.cells(F.col("h"), size, HASHES)))).alias("cell"))
-        words = np.zeros(size // 64, np.uint64)
-        for row in bloom.filter_pages(cells, size).toLocalIterator():
-            at = row["page"] * bloom.WORDS
-            words[at : at + bloom.WORDS] = np.array(row["words"], np.int64).view(np.uint64)
-        cascade.levels.append((size, words))
-        if outside.isEmpty():
-            return cascade
-
-        def wrong(frames, size=size, words=words):
+    held, asked = inside.count(), outside.count()
+    salt = failed = 0
+    while held or not cascade.levels:
+        size = bloom.size_for(held, bits_per_key, limit_bytes)
+        words = filter_words(inside, salt, size)
+
+        def wrong(frames, salt=salt, size=size, words=words):
             for frame in frames:
-                yield frame[holds(size, words, frame["h"].to_numpy().view(np.uint64))]
+                yield frame[holds(salt, size, words, frame["h"].to_numpy().view(np.uint64))]
 
         mistaken = staged(outside.mapInPandas(wrong, "h long"), "mistaken-keys")
-        inside, outside = mistaken, inside
+        count, salt = mistaken.count(), salt + 1
+        if count > asked // 2:
+            failed += 1
+            if failed == tries:
+                raise RuntimeError(f"{held} keys do not fit a filter of {limit_bytes} bytes: {count} of {asked} others pass it")
+            continue
+        failed = 0
+        cascade.levels.append((salt - 1, size, words))
+        inside, outside, held, asked = mistaken, inside, count, held
+    return cascade
 
 
 def judge_urls(
@@ -193,13 +219,15 @@ def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 OP5_SQL = r"""
 WITH rules(v, h, p) AS (VALUES ('allow', 'com', '/'), ('block', 'example.com', '/en/'),
   ('allow', 'www.example.com', '/en/'), ('block', 'net', '/es/'), ('block', 'net', '/fr/')),
-u AS (
-  SELECT page_id,
-         translate(regexp_extract(coalesce(url, ''), '^(.*?)://([^/?#]*)', 2, 's'),
-           'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
-         regexp_extract(coalesce(url, ''), '^(.*?)://[^/?#]*(/[^?#]*)', 2, 's') AS path,
+w AS (  -- what follows the first ://
+  SELECT page_id, CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest,
          row_number() OVER () AS ord
   FROM pages),
+u AS (
+  SELECT page_id, ord,
+         translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+         regexp_extract(rest, '^[^/?#]*(/[^?#]*)', 1) AS path
+  FROM w),
 m AS (
   SELECT u.ord, h || p AS rule, v,
          row_number() OVER (PARTITION BY u.ord ORDER BY length(h || p) DESC, length(h) DESC) AS k

@@ -114,11 +114,30 @@ def test_cascade_is_exact(spark):
     assert cascade.listed(keys[22_000:].view(np.uint64)).all()
 
 
+def test_cascade_parts_keys_that_collide(spark):
+    # equal but for two bits that one filter's cells do not read
+    keys = [12345, 12345 ^ (1 << 31), 12345 ^ (1 << 32)]
+    listed = spark.createDataFrame([(keys[0],)], "h long")
+    universe = spark.createDataFrame([(k,) for k in keys], "h long")
+    cascade = url_filter.build_cascade(listed, universe)
+    assert cascade.listed(np.array(keys, np.int64).view(np.uint64)).tolist() == [True, False, False]
+
+
+def test_cascade_fails_when_its_filters_are_too_small(spark):
+    listed = spark.range(200_000).select(F.xxhash64("id").alias("h"))
+    universe = spark.range(400_000).select(F.xxhash64("id").alias("h"))
+    with pytest.raises(RuntimeError, match="do not fit"):
+        url_filter.build_cascade(listed, universe, limit_bytes=4096, tries=2)
+    empty = listed.limit(0)
+    assert not url_filter.build_cascade(empty, universe.limit(50)).listed(np.arange(5, dtype=np.uint64)).any()
+
+
 def test_urls(spark):
     urls = [
         "http://www.example.com/en/1", "http://EXAMPLE.com/en/?x=/fr/", "https://a.example.com/en/", "http://b.net/fr/x",
         "http://net/es/", "http://b.net/de/", "http://xnet/es/", "http://other.org/en/", "http://example.com", None, "",
         "no scheme", "a://b://c.com/", "http://example.com?q=/en/", "http://example.com#/en/", "://x.com/a/b#c", "http://a.com/x\ny",
+        "http://shop.net?u=http://b.org/es/x", "http://shop.net#http://b.org/fr/", "http://shop.net/es/?u=http://b.org/x",
     ]
     pages = spark.createDataFrame([(i, u, "h") for i, u in enumerate(urls)] + [(0, urls[0], "h")], "page_id long, url string, host string")
     rules = spark.createDataFrame(url_filter.RULES, "verdict string, host string, path string")
