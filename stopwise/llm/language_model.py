@@ -13,6 +13,7 @@ round adds up the gradient over its share of the documents. Every training docum
 
 import functools
 import hashlib
+import itertools
 import zlib
 
 import numpy as np
@@ -40,7 +41,7 @@ RARE = 1 << 15  # marks a token outside the dictionary
 COMPANY = 128
 NEVER = np.float32(-1e30)
 
-CLASS_BITS = (13, 12, 12, 12)  # bits of the rows of the features of classes
+CLASS_BITS = (13, 12, 13)  # bits of the rows of the features of classes
 CLASS_ROWS = sum(1 << b for b in CLASS_BITS)
 NEAR = 192  # words that are features of places of their own; others count as their class
 CONTEXTS = NEAR + COLUMNS
@@ -52,6 +53,8 @@ TASK_TOKENS = 1 << 24  # of a task that sends a gradient
 ROUNDS = 3
 SMOOTH = 8.0
 STEP = 0.4
+BOUND = np.float32(8)  # of weights
+ONES = np.ones(SLOTS, np.float32)
 
 
 def key_of(token: bytes) -> bytes:
@@ -159,14 +162,17 @@ def encoded(docs: DataFrame, vocabulary: Vocabulary) -> DataFrame:
             for raw in batch.column(4).to_pylist():
                 words = tokens(raw)
                 words.append(END)
-                at = np.array([get(t, -1) for t in words], np.int64)
+                at = np.fromiter(map(get, words, itertools.repeat(-1)), np.int64, len(words))
                 rare, groups = [], []
                 for k in np.flatnonzero(at < 0).tolist():
-                    key = key_of(words[k])
-                    at[k] = get(key, -1)
-                    if at[k] < 0:
-                        rare.append(key)
-                        groups.append(ending(key))
+                    key = words[k]
+                    if len(key) > KEY_BYTES:
+                        key = key_of(key)
+                        at[k] = get(key, -1)
+                        if at[k] >= 0:
+                            continue
+                    rare.append(key)
+                    groups.append(zlib.crc32(key[-3:]) % ENDINGS)
                 known = at >= 0
                 ids = np.empty(len(at), np.uint16)
                 ids[known] = ids_of[at[known]]
@@ -223,7 +229,7 @@ def added(docs: DataFrame, tasks: int, measure, rows: int, columns: int) -> np.n
 
 
 class Text:
-    """Tokens of some documents: ids, the three ids before each, and where documents begin."""
+    """Tokens of some documents: ids, the two ids before each, and where documents begin."""
 
     def __init__(self, raw: list[bytes]):
         arrays = [np.frombuffer(r, "<u2") for r in raw]
@@ -234,7 +240,7 @@ class Text:
         self.starts = np.cumsum(lengths) - lengths
         self.before = []
         last = self.ids
-        for _ in range(3):
+        for _ in range(2):
             last = np.concatenate([[START], last[:-1]]).astype(np.int32) if len(last) else last
             last[self.starts] = START
             self.before.append(last)
@@ -253,10 +259,10 @@ def hashed(bits: int, salt: int, *parts: np.ndarray) -> np.ndarray:
 
 
 def class_rows(text: Text) -> list[np.ndarray]:
-    """Rows of weights for the class of every token: n-grams of one and two tokens, and two skips."""
-    one, two, three = text.before
+    """Rows of weights for the class of every token: n-grams of one and two tokens, and a skip."""
+    one, two = text.before
     out, first = [], 0
-    for salt, (bits, parts) in enumerate(zip(CLASS_BITS, ((one,), (two,), (one, two), (three,))), 1):
+    for salt, (bits, parts) in enumerate(zip(CLASS_BITS, ((one,), (two,), (one, two))), 1):
         out.append(hashed(bits, salt, *parts) + first)
         first += 1 << bits
     return out
@@ -304,28 +310,34 @@ class Model:
         gradient needs: rows and distributions of both softmaxes."""
         ids = text.ids
         classes, rows = self.class_of[ids], class_rows(text)
+        held = np.empty((3, min(PART, len(ids)), SLOTS), np.float32)  # logits of both softmaxes, and rows
         for a in range(0, len(ids), PART):
             b = min(a + PART, len(ids))
             here = [r[a:b] for r in rows]
-            logit = self.weights.take(here[0], 0)
-            for r in here[1:]:
-                logit += self.weights.take(r, 0)
+            c = classes[a:b]
+            logit = self.summed(here, held[0], held[2])
             logit += self.classes
-            n, c = np.arange(b - a), classes[a:b]
-            mine = logit[n, c]
-            z = distribution(logit)
+            mine = logit[np.arange(b - a), c]
+            z = distribution(logit, keep)
             logs = mine - z
             top = np.flatnonzero(ids[a:b] < TOP)
             there = self.place_rows(text, top + a, c[top])
-            inner = self.weights.take(there[0], 0)
-            for r in there[1:]:
-                inner += self.weights.take(r, 0)
-            inner += self.places[c[top]]
+            inner = self.summed(there, held[1], held[2])
+            inner += self.places.take(c[top], 0, out=held[2][: len(top)], mode="clip")
             place = self.place_of[ids[a:b][top]]
             mine = inner[np.arange(len(top)), place]
-            logs[top] += mine - distribution(inner)
+            logs[top] += mine - distribution(inner, keep)
             yield (a, b, z, logs, here, logit, c, there, inner, place) if keep else (a, b, z, logs)
 
+    def summed(self, rows: list[np.ndarray], out: np.ndarray, room: np.ndarray) -> np.ndarray:
+        """Sums of the weights of features."""
+        n = len(rows[0])
+        out, room = out[:n], room[:n]
+        self.weights.take(rows[0], 0, out=out, mode="clip")
+        for r in rows[1:]:
+            out += self.weights.take(r, 0, out=room, mode="clip")
+        return out
+
     def counts(self, text: Text, total: np.ndarray):
         """Adds how often each feature meets each class, and each place."""
         classes = self.class_of[text.ids]
@@ -352,7 +364,7 @@ class Model:
             n = counts[part]
             seen = n.sum(1, keepdims=True)
             ratio = (n + SMOOTH * q) / ((seen + SMOOTH) * np.maximum(q, 1e-300))
-            self.weights[part] = np.where(q > 0, np.log(np.maximum(ratio, 1e-9)) / share, 0)
+            self.weights[part] = np.clip(np.where(q > 0, np.log(np.maximum(ratio, 1e-9)) / share, 0), -BOUND, BOUND)
         self.weights[:CLASS_ROWS, UNKNOWN] = 0
 
     def step(self, counts: np.ndarray, gradient: np.ndarray):
@@ -361,27 +373,26 @@ class Model:
         move = STEP * gradient / ((counts + expected) / 2 + SMOOTH)
         move[:CLASS_ROWS, UNKNOWN] = 0
         self.weights += move.astype(np.float32)
+        np.clip(self.weights, -BOUND, BOUND, out=self.weights)
 
 
-def distribution(logit: np.ndarray) -> np.ndarray:
-    """Turns rows of logits into probabilities, in place, and returns the logs of their sums."""
-    if not len(logit):
-        return np.zeros(0, np.float32)
-    most = logit.max(1, keepdims=True)
-    logit -= most
+def distribution(logit: np.ndarray, keep: bool) -> np.ndarray:
+    """Logs of the sums of the rows of logits' exponentials. These are at most a few times BOUND, so
+    none overflows. With ``keep`` the rows become probabilities, in place; else they are used up."""
     np.exp(logit, out=logit)
-    total = logit.sum(1, keepdims=True)
-    logit /= total
-    return (most + np.log(total))[:, 0]
+    total = logit @ ONES
+    if keep:
+        logit /= total[:, None]
+    return np.log(total)
 
 
 def scatter(total: np.ndarray, rows: np.ndarray, values: np.ndarray):
     """Takes the values from the rows of the total."""
     if len(rows):
-        order = np.argsort(rows, kind="stable")
+        order = np.argsort(rows.astype(np.uint16), kind="stable")  # by counting: there are fewer rows than 2**16
         ordered = rows[order]
         first = np.flatnonzero(np.concatenate([[True], ordered[1:] != ordered[:-1]]))
-        total[ordered[first]] -= np.add.reduceat(values[order], first, axis=0)
+        total[ordered[first]] -= np.add.reduceat(values.take(order, 0), first, axis=0)
 
 
 def parted(vectors: np.ndarray, ids: np.ndarray, weight: np.ndarray, parts: int) -> list[np.ndarray]:
