@@ -67,7 +67,10 @@ def departure_hour(ts: Column) -> Column:
 
 
 def time_text(ts: Column) -> Column:
-    return F.date_format(ts, "HH:mm:ss")
+    """Time of day in UTC."""
+    second = F.pmod(F.unix_seconds(ts), F.lit(86400))
+    parts = [F.floor(second / 3600), F.floor(second / 60) % 60, second % 60]
+    return F.when(ts.isNotNull(), F.format_string("%02d:%02d:%02d", *parts))
 
 
 def safe_ratio(num: Column, den: Column, digits: int = 6) -> Column:

@@ -1,6 +1,6 @@
 """Mean encoding of high-cardinality categories without leakage, and scaling."""
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 Y = "travel_time_seconds"
@@ -29,6 +29,33 @@ def encode_out_of_fold(
     return df.join(codes, [column, fold], "left")
 
 
+def encode_ordered(df: DataFrame, column: str, out: str, key: Column, weight: float = 20.0) -> DataFrame:
+    """(sum + weight * prior) / (n + weight) over the rows of the same category that come before a row
+    in the order of md5(key), so that no row's own target is in its code. The prior is the mean of
+    all rows; null is a category. ``key`` tells rows of a category apart.
+
+    The first digits of the digest cut every category into pieces, however many rows it has; each
+    piece is one window, and a table with a row for each piece carries the sums from piece to piece.
+    ``df`` is read three times, so pass a written table.
+    """
+    rows = df.withColumn("_h", F.md5(key)).withColumn("_piece", F.substring("_h", 1, 3))
+    inside = Window.partitionBy(column, "_piece").orderBy("_h").rowsBetween(Window.unboundedPreceding, -1)
+    earlier = Window.partitionBy(column).orderBy("_piece").rowsBetween(Window.unboundedPreceding, -1)
+    pieces = rows.groupBy(column, "_piece").agg(F.sum(Y).alias("_s"), F.count(Y).alias("_n"))
+    pieces = pieces.select(
+        F.col(column).alias("_c"),
+        F.col("_piece").alias("_p"),
+        F.coalesce(F.sum("_s").over(earlier), F.lit(0.0)).alias("_ps"),
+        F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_pn"),
+    )
+    prior = df.agg(F.avg(Y)).scalar()
+    rows = rows.withColumn("_is", F.coalesce(F.sum(Y).over(inside), F.lit(0.0)))
+    rows = rows.withColumn("_in", F.count(Y).over(inside))
+    joined = rows.join(pieces, rows[column].eqNullSafe(F.col("_c")) & (F.col("_piece") == F.col("_p")))
+    value = (F.col("_is") + F.col("_ps") + weight * prior) / (F.col("_in") + F.col("_pn") + weight)
+    return joined.select(*[rows[c] for c in df.columns], value.alias(out))
+
+
 def category_means(train: DataFrame, column: str, out: str, weight: float = 20.0) -> DataFrame:
     """The same encoding from all training rows, for rows outside training. The null category
     holds the prior, for categories not seen."""

@@ -78,16 +78,17 @@ def gold_routes(
     )
 
 
-def with_stop_roles(segments: DataFrame, stops: DataFrame) -> DataFrame:
-    return segments.join(st.as_origin(stops), ["route_id", "from_stop_id"], "left").join(
-        st.as_destination(stops), ["route_id", "to_stop_id"], "left"
-    )
+ENDS = {"from": "origin", "to": "target.at"}
 
 
-def with_stop_load(segments: DataFrame, load: DataFrame) -> DataFrame:
-    named = load.withColumnRenamed("stop_id", "to_stop_id")
-    joined = segments.join(named, ["route_id", "to_stop_id"], "left")
-    return joined.withColumns({c: F.coalesce(c, F.lit(0)) for c in schemas.LOAD_COLUMNS})
+def with_stop_roles(segments: DataFrame, stops: DataFrame, packages: DataFrame | None = None) -> DataFrame:
+    """Segments with coordinates, zone and kind of the stops at their ends, and with the load of the
+    stop they lead to where packages are given. A stop without packages has load 0."""
+    ends = st.with_ends(segments, st.stop_facts(stops, packages))
+    new = {f"{side}_{c}": F.col(f"{end}.{c}") for side, end in ENDS.items() for c in ("lat", "lng", "zone_id", "stop_type")}
+    if packages is not None:
+        new |= {c: F.coalesce(F.col(f"target.load.{c}"), F.lit(0)) for c in schemas.LOAD_COLUMNS}
+    return ends.withColumns(new).drop("origin", "target")
 
 
 def route_context(
@@ -136,9 +137,9 @@ def with_cumulative_distance(legs: DataFrame, extent: DataFrame | None = None) -
     return out.withColumn("cumulative_distance_km", F.round("cumulative_distance_km", 6))
 
 
-def gold_legs(segments: DataFrame, stops: DataFrame) -> DataFrame:
-    """Segments with both stop roles, distance, flags and running distance."""
-    roles = with_stop_roles(segments, stops)
+def gold_legs(segments: DataFrame, stops: DataFrame, packages: DataFrame | None = None) -> DataFrame:
+    """Segments with both stop roles, load, distance, flags and running distance."""
+    roles = with_stop_roles(segments, stops, packages)
     km = haversine_km(*[F.col(c) for c in ("from_lat", "from_lng", "to_lat", "to_lng")])
     legs = roles.withColumns(
         {
@@ -158,7 +159,7 @@ def gold_segments(
     weather: DataFrame,
     calendar: DataFrame,
 ) -> DataFrame:
-    legs = gold_legs(with_stop_load(segments, st.stop_load(packages)), stops)
+    legs = gold_legs(segments, stops, packages)
     context = route_context(routes, packages, weather, calendar)
     joined = with_route_context(legs, context, extent=segments)
     position, total = F.col("segment_position"), F.col("route_total_stops")

@@ -1,16 +1,19 @@
 """Planned routes: filling in what a planner does not know, and proposing a stop order."""
 
+import functools
+import itertools
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from stopwise import schemas
 from stopwise.functions.geo import EARTH_RADIUS_KM, haversine_km
 from stopwise.functions.scalars import same_zone
-from stopwise.operators.ordered import along, block_of
+from stopwise.operators.ordered import along, numbered
 from stopwise.operators.scoring import score_lines, with_arrival_seconds
+from stopwise.workspace import staged
 
 SAMPLED = [c for c in schemas.LOAD_COLUMNS if c != "packages_at_destination"]
 
@@ -118,47 +121,126 @@ def _km(lat1, lng1, lat2, lng2):
     return 2 * EARTH_RADIUS_KM * np.arcsin(np.minimum(1.0, np.sqrt(a)))
 
 
-def improve_order(start: np.ndarray, between: np.ndarray) -> np.ndarray:
-    """Nearest next stop by cost, then 2-opt on edge costs until a pass finds nothing.
+def improve_order(start: np.ndarray, between: np.ndarray, leave: np.ndarray | None = None) -> np.ndarray:
+    """The stops in an order that no reversal of a run and no move of up to three stops betters.
 
-    ``start[j]`` is the cost of opening with stop j; ``between`` is symmetric, so reversing a run
-    of stops changes only its two outer edges and every move is judged exactly.
+    ``start[j]`` is the cost of opening with stop j, ``leave[j]`` that of what follows it at the end;
+    ``between`` is symmetric, so reversing a run changes only its two outer edges and every move is
+    judged exactly. The search starts from the given order and from the nearest next stop; of a few
+    stops, all orders are compared.
     """
     n = len(start)
+    if n < 2:
+        return np.arange(n)
+    # stop n stands for what comes before, stop n + 1 for what comes after
+    costs = np.zeros((n + 2, n + 2))
+    costs[:n, :n] = between
+    costs[n, :n] = costs[:n, n] = start
+    costs[:n, n + 1] = costs[n + 1, :n] = 0.0 if leave is None else leave
+    if n <= FEW:
+        orders = _all_orders(n)
+        total = costs[n, orders[:, 0]] + costs[orders[:, -1], n + 1] + costs[orders[:, :-1], orders[:, 1:]].sum(1)
+        least = int(np.argmin(total))
+        return orders[least if total[least] < total[0] - 1e-9 else 0].copy()
+    best = None
+    for order in (np.arange(n), _nearest_next(costs, n)):
+        path = np.concatenate([[n], order, [n + 1]])
+        while _reversals(path, costs) or _moves(path, costs):
+            pass  # each lowers the cost, so this ends
+        total = costs[path[:-1], path[1:]].sum()
+        if best is None or total < best[0] - 1e-9:
+            best = (total, path[1:-1].copy())
+    return best[1]
+
+
+FEW = 6
+
+
+@functools.cache
+def _all_orders(n: int) -> np.ndarray:
+    """The given order first."""
+    return np.array(list(itertools.permutations(range(n))))
+
+
+def _nearest_next(costs: np.ndarray, n: int) -> np.ndarray:
     order = np.empty(n, dtype=int)
     free = np.ones(n, dtype=bool)
-    cost = start
+    at = n
     for i in range(n):
-        j = int(np.argmin(np.where(free, cost, np.inf)))
-        order[i], free[j] = j, False
-        cost = between[j]
-    better = True  # every move lowers the cost, so this ends
+        at = int(np.argmin(np.where(free, costs[at, :n], np.inf)))
+        order[i], free[at] = at, False
+    return order
+
+
+def _reversals(path: np.ndarray, costs: np.ndarray) -> bool:
+    """Reverses runs of the path, in place, until none helps; whether any did."""
+    found, better = False, True
     while better:
         better = False
-        for i in range(n - 1):
-            ends = order[i + 1 :]
-            into = start if i == 0 else between[order[i - 1]]
-            onward = np.append(order[i + 2 :], -1)
-            has_next = onward >= 0
-            old = into[order[i]] + np.where(has_next, between[ends, onward], 0.0)
-            new = into[ends] + np.where(has_next, between[order[i], onward], 0.0)
-            gain = old - new
+        for i in range(1, len(path) - 2):
+            before, first = path[i - 1], path[i]
+            ends, onward = path[i + 1 : -1], path[i + 2 :]
+            gain = costs[before, first] + costs[ends, onward] - costs[before, ends] - costs[first, onward]
             k = int(np.argmax(gain))
             if gain[k] > 1e-9:
                 j = i + 1 + k
-                order[i : j + 1] = order[i : j + 1][::-1]
-                better = True
-    return order
+                path[i : j + 1] = path[i : j + 1][::-1].copy()
+                found = better = True
+    return found
 
 
-def propose_stop_order(
-    planned: DataFrame, lines: DataFrame, block_rows: int = 256
-) -> DataFrame:
-    """Stops of every route in a proposed order (``proposed_position``).
+def _moves(path: np.ndarray, costs: np.ndarray) -> bool:
+    """Moves runs of one to three stops to where they cost least, either way round; whether any did."""
+    found = False
+    for length in (1, 2, 3):
+        i = 1
+        while i + length < len(path):
+            first, last = path[i], path[i + length - 1]
+            rest = np.concatenate([path[:i], path[i + length :]])
+            out = costs[path[i - 1], first] + costs[last, path[i + length]] - costs[path[i - 1], path[i + length]]
+            a, b = rest[:-1], rest[1:]
+            ahead = costs[a, first] + costs[last, b]
+            back = costs[a, last] + costs[first, b]
+            into = np.minimum(ahead, back) - costs[a, b]
+            k = int(np.argmin(into))
+            if out - into[k] > 1e-9:
+                run = path[i : i + length] if ahead[k] <= back[k] else path[i : i + length][::-1]
+                path[:] = np.concatenate([rest[: k + 1], run, rest[k + 1 :]])
+                found = True
+            i += 1
+    return found
+
+
+def curve_place(lat: np.ndarray, lng: np.ndarray, bits: int = 26) -> np.ndarray:
+    """Place of a point along a Hilbert curve over the globe; its cells are about half a metre wide."""
+    cells = float(1 << bits) / 360.0
+    x = np.clip((lng + 180.0) * cells, 0, (1 << bits) - 1).astype(np.int64)
+    y = np.clip((lat + 90.0) * cells, 0, (1 << bits) - 1).astype(np.int64)
+    place = np.zeros(len(x), np.int64)
+    for k in range(bits - 1, -1, -1):
+        side = np.int64(1) << k
+        rx, ry = (x & side) > 0, (y & side) > 0
+        place += side * side * ((3 * rx) ^ ry)
+        x, y = x & (side - 1), y & (side - 1)
+        flip = ~ry & rx
+        x, y = np.where(flip, side - 1 - x, x), np.where(flip, side - 1 - y, y)
+        x, y = np.where(ry, x, y), np.where(ry, y, x)
+    return place
 
-    A route of up to ``block_rows`` stops is ordered as a whole. A longer one is ordered block by
-    block in its given sequence, each block entered from the stop before it, so no task holds more
-    than a block and every stop stays in the answer.
+
+WINDOW = 256  # stops that are ordered together
+
+
+def propose_stop_order(planned: DataFrame, lines: DataFrame, window: int = WINDOW) -> DataFrame:
+    """Stops of every route in a proposed order (``proposed_position``), whatever the route's length.
+
+    The order starts along a space-filling curve. Rounds then cut the current order into windows of
+    ``window`` stops, shifted by half a window from round to round, and order each between the stops
+    that stand before and after it, which stay. A round only looks at windows in which one of the
+    last two rounds changed something; when none is left, the order stands. Every round is one
+    shuffle by route and window, and its result is written, so that no task holds more than a window.
+    The first leg costs what the depot's line says, all others what the deliveries' line says. Stops
+    without coordinates come last, in their given order.
     """
     coef = {r["is_depot_segment"]: (r["slope"], r["intercept"]) for r in lines.collect()}
     delivery = coef.get(0, (1.0, 0.0))
@@ -167,42 +249,84 @@ def propose_stop_order(
     def cost(km, line):
         return np.maximum(0.0, line[0] * km + line[1])
 
-    @F.pandas_udf(T.ArrayType(T.IntegerType()))
-    def order_of(stops: pd.Series, elat: pd.Series, elng: pd.Series, first: pd.Series) -> pd.Series:
+    @F.pandas_udf("long")
+    def place_of(lat: pd.Series, lng: pd.Series) -> pd.Series:
+        return pd.Series(curve_place(lat.to_numpy(float), lng.to_numpy(float)))
+
+    located = F.col("lat").isNotNull() & F.col("lng").isNotNull()
+    points = planned.select(
+        "route_id", "position", *[F.coalesce(c, F.lit(0.0)).cast("double").alias(c) for c in ("lat", "lng")],
+        *[F.coalesce(c, F.lit(0.0)).cast("double").alias(c) for c in ("depot_lat", "depot_lng")], located.alias("located"),
+    )
+    place = F.when(F.col("located"), place_of("lat", "lng")).otherwise(F.lit(1 << 62))
+    points = staged(
+        points.withColumn("place", place).withColumn("cell", F.shiftright("place", 20)).withColumn("inner", F.shiftright("place", 8)),
+        "stops-on-curve",
+    )
+    now = numbered(points, ["route_id"], ["cell", "inner", "place", "position"], "rank").withColumn("rank", F.col("rank") - 1)
+    now = now.select("route_id", "position", "lat", "lng", "depot_lat", "depot_lng", "located", "rank", F.lit(0).alias("changed"))
+    now = staged(now, "stop-order")
+
+    @F.pandas_udf("array<int>")
+    def search(lat: pd.Series, lng: pd.Series, role: pd.Series, located: pd.Series, age: pd.Series, *depot_at: pd.Series) -> pd.Series:
         found = []
-        for points, a, b, opening in zip(stops, elat, elng, first):
-            xy = np.stack([np.asarray(p, dtype=float) for p in points])
-            lat, lng = xy[:, 0], xy[:, 1]
-            start = cost(_km(a, b, lat, lng), depot if opening else delivery)
-            between = cost(_km(lat[:, None], lng[:, None], lat, lng), delivery)
-            found.append(improve_order(start, between))
+        for row in zip(lat, lng, role, located, age, *depot_at):
+            la, ln, r, here, old = (np.asarray(x) for x in row[:5])
+            mine = np.flatnonzero((r == 0) & here)
+            others = np.flatnonzero((r == 0) & ~here)
+            if len(mine) and old.min() <= 1:
+                x, y = la[mine].astype(float), ln[mine].astype(float)
+                entry, exit_ = np.flatnonzero(r == -1), np.flatnonzero((r == 1) & here)
+                if len(entry):
+                    start = cost(_km(la[entry[0]], ln[entry[0]], x, y), delivery)
+                else:
+                    start = cost(_km(row[5], row[6], x, y), depot)
+                between = cost(_km(x[:, None], y[:, None], x, y), delivery)
+                leave = cost(_km(la[exit_[0]], ln[exit_[0]], x, y), delivery) if len(exit_) else None
+                mine = mine[improve_order(start, between, leave)]
+            found.append(np.concatenate([mine, others]).astype(np.int32))
         return pd.Series(found)
 
+    for offset in itertools.cycle((0, window // 2)):
+        at = F.col("rank") + offset
+        first, last = at % window == 0, at % window == window - 1
+        block = F.floor(at / window).cast("int")
+        seats = F.array_compact(
+            F.array(
+                F.struct(block.alias("block"), F.lit(0).alias("role")),
+                F.when(last, F.struct((block + 1).alias("block"), F.lit(-1).alias("role"))),
+                F.when(first & (F.col("rank") > 0), F.struct((block - 1).alias("block"), F.lit(1).alias("role"))),
+            )
+        )
+        # rounds since this stop's window last changed
+        rows = now.withColumn("age", F.col("changed") + 1).withColumn("seat", F.explode(seats)).select("*", "seat.*")
+        stop = F.struct("rank", "position", "lat", "lng", "located", "age", "role")
+        packed = rows.groupBy("route_id", "block").agg(
+            F.sort_array(F.collect_list(stop)).alias("s"), F.max("depot_lat").alias("depot_lat"), F.max("depot_lng").alias("depot_lng"),
+            F.min(F.when(F.col("role") == 0, F.col("rank"))).alias("low"),
+        ).where("low IS NOT NULL")
+        order = search(*[F.col(f"s.{c}") for c in ("lat", "lng", "role", "located", "age")], "depot_lat", "depot_lng")
+        packed = packed.withColumn("order", order)
+        moved = packed.withColumn("stays", F.col("order") == F.array_sort("order"))
+        placed = moved.select("*", F.posexplode("order").alias("pos", "i")).withColumn("x", F.get("s", F.col("i")))
+        now = staged(
+            placed.select(
+                "route_id", "x.position", "x.lat", "x.lng", "depot_lat", "depot_lng", "x.located", (F.col("low") + F.col("pos")).alias("rank"),
+                F.when(F.col("stays"), F.col("x.age")).otherwise(0).alias("changed"),
+            ),
+            "stop-order",
+        )
+        if now.where("changed < 2").isEmpty():
+            break
+
+    order = now.select(F.col("route_id").alias("_route"), F.col("position").alias("_at"), (F.col("rank") + 1).alias("proposed_position"))
+    placed = planned.join(order, (F.col("route_id") == F.col("_route")) & (F.col("position") == F.col("_at")))
     moved = ["position", "stop_id", "lat", "lng", "to_zone_id", *schemas.LOAD_COLUMNS]
     fixed = [
         "station_code", "departure_hour", "weekday", "route_total_stops", "route_package_count",
         "depot_lat", "depot_lng",
-    ]
-    stop = F.struct(*moved, "estimated_fields", "from_lat", "from_lng")
-    packed = (
-        planned.withColumn("_block", block_of(F.col("position") - 1, block_rows))
-        .groupBy("route_id", "_block")
-        .agg(F.sort_array(F.collect_list(stop)).alias("s"), *[F.first(c).alias(c) for c in fixed])
-    )
-    points = F.transform("s", lambda x: F.array(x["lat"], x["lng"]))
-    entry = F.get("s", F.lit(0))
-    ordered = packed.withColumn(
-        "_order", order_of(points, entry["from_lat"], entry["from_lng"], F.col("_block") == 0)
-    )
-    placed = ordered.select(
-        "route_id", "_block", *fixed, "s", F.posexplode("_order").alias("_pos", "_i")
-    ).withColumn("x", F.get("s", F.col("_i")))
-    return placed.select(
-        "route_id",
-        *fixed,
-        (F.col("_block") * block_rows + F.col("_pos") + 1).alias("proposed_position"),
-        *[F.col(f"x.{c}").alias(c) for c in [*moved, "estimated_fields"]],
-    )
+    ]
+    return placed.select("route_id", *fixed, "proposed_position", *moved, "estimated_fields")
 
 
 def order_seconds(stops: DataFrame, order: str, lines: DataFrame) -> DataFrame:

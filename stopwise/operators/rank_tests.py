@@ -1,50 +1,13 @@
 """Rank tests and rank correlation."""
 
-import math
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType
 
+from stopwise.functions.tails import chi2_tail, normal_tail
 from stopwise.operators.quality import beside
 from stopwise.operators.ranks import ranked_values
 
 
-def normal_tail(z: float) -> float:
-    """Two-sided tail of the standard normal."""
-    return math.erfc(abs(z) / math.sqrt(2.0))
-
-
-def chi2_tail(x: float, df: int) -> float:
-    """Upper tail of chi-squared for whole degrees of freedom, by its finite sum."""
-    if x <= 0:
-        return 1.0
-    half = x / 2
-    if df % 2 == 0:
-        term, total = 1.0, 1.0
-        for i in range(1, df // 2):
-            term *= half / i
-            total += term
-        return math.exp(-half) * total
-    total = math.erfc(math.sqrt(half))
-    term = math.exp(-half) * math.sqrt(half) / math.gamma(1.5)
-    for i in range(1, (df - 1) // 2 + 1):
-        total += term
-        term *= half / (i + 0.5)
-    return total
-
-
-@F.pandas_udf(DoubleType())
-def _normal_p(z: pd.Series) -> pd.Series:
-    return z.map(lambda v: None if v is None or v != v else normal_tail(v))
-
-
-@F.pandas_udf(DoubleType())
-def _chi2_p(h: pd.Series, df: pd.Series) -> pd.Series:
-    return pd.Series([chi2_tail(a, int(b)) if a == a else None for a, b in zip(h, df)])
-
-
 def _tie_term(n: Column) -> Column:
     """t^3 - t of each block of equal values, in doubles so large blocks do not overflow."""
     t = n.cast("double")
@@ -80,7 +43,7 @@ def mann_whitney(df: DataFrame, value: str, flag: str) -> DataFrame:
     pooled = F.sqrt((F.col("v1") + F.col("v0")) / 2)
     d = F.when(pooled > 0, (F.col("m1") - F.col("m0")) / pooled)
     out = beside(sums, spread).select("n1", "n0", u.alias("u"), z.alias("z"), d.alias("cohen_d"))
-    return out.withColumn("p_value", _normal_p("z")).withColumn(
+    return out.withColumn("p_value", normal_tail(F.col("z"))).withColumn(
         "effect", F.when(F.abs("cohen_d") < 0.2, "negligible").otherwise("noticeable")
     )
 
@@ -101,7 +64,7 @@ def kruskal_wallis(df: DataFrame, value: str, group: str, min_n: int = 1) -> Dat
     h = 12 / (total * (total + 1)) * F.sum(F.col("r") * F.col("r") / n) - 3 * (total + 1)
     corrected = h / (1 - F.sum("tie") / (total * total * total - total))
     out = per_group.agg(corrected.alias("h"), F.count("*").alias("groups"))
-    return out.withColumn("p_value", _chi2_p("h", F.col("groups") - 1))
+    return out.withColumn("p_value", chi2_tail(F.col("h"), F.col("groups") - 1))
 
 
 def spearman(df: DataFrame, columns: list[str], target: str) -> DataFrame:

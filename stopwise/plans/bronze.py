@@ -1,9 +1,11 @@
 """Raw document lines written from the fixture tables, for reading back."""
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from stopwise.operators.ordered import block_of
+from stopwise.workspace import new_path
 
 MISSING = "__NaN__"
 
@@ -140,3 +142,30 @@ def holiday_lines(holidays: DataFrame) -> DataFrame:
         .agg(F.collect_list(record).alias("raw_response"))
         .select(F.to_json(F.struct("raw_response")).alias("value"))
     )
+
+
+def as_objects(docs: DataFrame) -> DataFrame:
+    """The lines of every partition joined to one object, spread over lines again: a file of them is
+    one JSON object, whatever its size."""
+
+    def run(batches):
+        before = "{"
+        for batch in batches:
+            out = []
+            for value in batch.column(0).to_pylist():
+                out.append(before + value[1:-1])
+                before = ","
+            yield pa.RecordBatch.from_pydict({"value": pa.array(out, pa.string())})
+        if before == ",":
+            yield pa.RecordBatch.from_pydict({"value": pa.array(["}"], pa.string())})
+
+    return docs.mapInArrow(run, "value string")
+
+
+def written(docs: DataFrame, name: str) -> list[str]:
+    """Folders with the documents as files: one half as lines, the other as one object a file."""
+    spark, half = docs.sparkSession, F.xxhash64("value") % 2 == 0
+    folders = [new_path(spark, f"{name}-lines"), new_path(spark, f"{name}-objects")]
+    docs.where(half).write.text(folders[0])
+    as_objects(docs.where(~half)).write.text(folders[1])
+    return folders

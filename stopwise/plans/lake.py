@@ -27,6 +27,7 @@ class Lake:
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark, self.sf_dir = spark, sf_dir
         self.written: dict[str, DataFrame] = {}
+        self.raw: dict[str, list[str]] = {}
 
     def get(self, name: str) -> DataFrame:
         """The written table, building it on first use."""

@@ -391,5 +391,5 @@ def sql(needs: str, select: str) -> str:
         visit(n)
     if not order:
         return select.strip()
-    head = ",\n".join(f"{n} AS ({CTE[n][1].strip()})" for n in order)
+    head = ",\n".join(f"{n} AS MATERIALIZED ({CTE[n][1].strip()})" for n in order)
     return f"WITH {head}\n{select.strip()}"

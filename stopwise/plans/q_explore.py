@@ -181,6 +181,14 @@ def _(k):
     return correlation.vif(k.get("gold_segments"), VIF)
 
 
+@query("vif_pair", "g_seg", """
+SELECT unnest(['segment_distance_km', 'cumulative_distance_km']) AS "column",
+  round(1 / (1 - r * r), 4) AS vif, CAST(1 / (1 - r * r) > 5 AS INT) AS above_threshold
+FROM (SELECT corr(segment_distance_km, cumulative_distance_km) AS r FROM g_seg) c""")
+def _(k):
+    return correlation.vif(k.get("gold_segments"), ["segment_distance_km", "cumulative_distance_km"])
+
+
 @query("distance_time_fit", "g_seg", """
 SELECT f.is_depot_segment, round(slope, 5) AS slope, round(intercept, 5) AS intercept,
   round(r, 4) AS r, round(r2, 4) AS r2, round(kmh, 3) AS implied_kmh, n, round(mae, 4) AS mae_min
@@ -299,11 +307,20 @@ def _(k):
     return e.route_score_profile(k.get("gold_routes"))
 
 
+# by the series of the incomplete gamma function, whose terms are all positive
+NORMAL_P = """CASE WHEN abs(z) > 12 THEN 0 ELSE 1 - list_sum(list_transform(range(0, 300),
+  lambda n: exp((n + 0.5) * ln(greatest(z * z / 2, 1e-300)) - z * z / 2 - lgamma(n + 1.5)))) END"""
+CHI2_P = """CASE WHEN h > 1400 THEN 0 ELSE 1 - list_sum(list_transform(range(0, 2000),
+  lambda n: exp(((groups - 1) / 2.0::DOUBLE + n) * ln(greatest(h / 2, 1e-300)) - h / 2
+    - lgamma((groups - 1) / 2.0::DOUBLE + n + 1)))) END"""
+
+
 def mw_sql(table, flag):
     return f"""
-SELECT n1, n0, round(u, 1) AS u,
-  round((greatest(u, n1 * n0 - u) - n1 * n0 / 2 - 0.5) / sqrt(n1 * n0 / 12
-    * (n1 + n0 + 1 - tie / ((n1 + n0) * (n1 + n0 - 1)))), 4) AS z, round(d, 4) + 0.0::DOUBLE AS cohen_d
+SELECT n1, n0, round(u, 1) AS u, round(z, 4) AS z, round(d, 4) + 0.0::DOUBLE AS cohen_d,
+  round({NORMAL_P}, 6) + 0.0::DOUBLE AS p_value
+FROM (SELECT *, (greatest(u, n1 * n0 - u) - n1 * n0 / 2 - 0.5) / sqrt(n1 * n0 / 12
+    * (n1 + n0 + 1 - tie / ((n1 + n0) * (n1 + n0 - 1)))) AS z
 FROM (SELECT n1, n0, tie, d, r1 - CAST(n1 AS DOUBLE) * (n1 + 1) / 2 AS u FROM (
   SELECT CAST(coalesce(count(*) FILTER (g = 1), 0) AS DOUBLE) AS n1,
     CAST(count(*) FILTER (g = 0) AS DOUBLE) AS n0,
@@ -313,7 +330,7 @@ FROM (SELECT n1, n0, tie, d, r1 - CAST(n1 AS DOUBLE) * (n1 + 1) / 2 AS u FROM (
   FROM (SELECT v, g, rank() OVER (ORDER BY v) + (count(*) OVER (PARTITION BY v) - 1) / 2.0::DOUBLE
       AS rk, count(*) OVER (PARTITION BY v) AS t
     FROM (SELECT travel_time_seconds AS v, {flag} AS g FROM {table} s
-      WHERE {flag} IS NOT NULL) a) b) c) e"""
+      WHERE {flag} IS NOT NULL) a) b) c) e) f"""
 
 
 def mann_whitney(k, df, flag):
@@ -324,6 +341,7 @@ def mann_whitney(k, df, flag):
         F.round("u", 1).alias("u"),
         F.round("z", 4).alias("z"),
         F.round("cohen_d", 4).alias("cohen_d"),
+        (F.round("p_value", 6) + 0.0).alias("p_value"),
     )
 
 
@@ -343,18 +361,19 @@ def _(k):
 
 
 @query("kruskal_wallis", "g_seg", f"""
-SELECT groups, round(h / (1 - tie / (n * n * n - n)), 4) AS h FROM (
+SELECT groups, round(h, 4) AS h, round({CHI2_P}, 6) + 0.0::DOUBLE AS p_value
+FROM (SELECT groups, h / (1 - tie / (n * n * n - n)) AS h FROM (
   SELECT count(*) AS groups, sum(c) AS n, sum(tie) AS tie,
     12 / (sum(c) * (sum(c) + 1)) * sum(r * r / c) - 3 * (sum(c) + 1) AS h
   FROM (SELECT g, CAST(count(*) AS DOUBLE) AS c, sum(rk) AS r, sum(CAST(t AS DOUBLE) * t - 1) AS tie
     FROM (SELECT g, rank() OVER (ORDER BY v) + (count(*) OVER (PARTITION BY v) - 1) / 2.0::DOUBLE
         AS rk, count(*) OVER (PARTITION BY v) AS t
       FROM (SELECT travel_time_seconds AS v, station_code AS g FROM {DELIVERY} s) a
-      ) b GROUP BY 1) c) d""")
+      ) b GROUP BY 1) c) d) e""")
 def _(k):
     out = rank_tests.kruskal_wallis(
         k.get("gold_segments").filter("is_depot_segment = 0"),
         "travel_time_seconds",
         "station_code",
     )
-    return out.select("groups", F.round("h", 4).alias("h"))
+    return out.select("groups", F.round("h", 4).alias("h"), (F.round("p_value", 6) + 0.0).alias("p_value"))

@@ -278,6 +278,21 @@ def _(k):
     )
 
 
+@query("zone_encoding_ordered", "tf", """
+SELECT route_id, segment_position, to_zone_id,
+  round((coalesce(sum(travel_time_seconds) OVER w, 0) + 20 * prior)
+    / (count(travel_time_seconds) OVER w + 20), 4) AS zone_mean
+FROM tf, (SELECT avg(travel_time_seconds) AS prior FROM tf) p
+WINDOW w AS (PARTITION BY to_zone_id ORDER BY md5(route_id || ':' || segment_position)
+  ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)""")
+def _(k):
+    key = F.concat_ws(":", "route_id", F.col("segment_position").cast("string"))
+    out = encode.encode_ordered(k.get("train_folds"), "to_zone_id", "zone_mean", key)
+    return rounded(
+        out.select("route_id", "segment_position", "to_zone_id", "zone_mean"), 4, "zone_mean"
+    )
+
+
 @query("station_encoding", "mrows", """
 SELECT m.route_id, m.segment_position,
   round((coalesce(s, 0) + 20 * prior) / (coalesce(n, 0) + 20), 4) AS station_mean
@@ -476,12 +491,12 @@ def _(k):
     return boosted.mean_importance(k.spark, gains, ["candidate", "population", "fold"])
 
 
-@query("coherence_check")
+@query("coherence_check", "oof_", """
+SELECT fold, round(avg(abs(residual)) / 60, 6) AS mae_min, 0.0::DOUBLE AS gap, true AS coherent
+FROM oof_ GROUP BY fold""")
 def _(k):
-    """The line candidate's error, measured alone and inside the grid of pairs."""
-    predictions = candidate_run(k)[0]
-    lines = predictions.filter("candidate = 'line'")
-    direct = metrics.metrics(lines, Y, "prediction", ["fold"])
-    grid = boosted.candidate_grid(predictions).filter("delivery = 'line' AND depot = 'line'")
+    """The line's error by fold in the baselines' own run, and inside the grid of candidates."""
+    direct = metrics.metrics(k.get("oof"), Y, "prediction", ["fold"])
+    grid = boosted.candidate_grid(candidate_run(k)[0]).filter("delivery = 'line' AND depot = 'line'")
     out = metrics.coherence_check(direct, grid, ["fold"])
     return rounded(out, 6, "mae_min", "gap")

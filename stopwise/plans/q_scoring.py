@@ -7,7 +7,7 @@ from stopwise.plans.catalogue import query
 from stopwise.plans.q_models import encoded_sides
 from stopwise.plans.q_tables import rounded
 from stopwise.streaming import score
-from stopwise.workspace import new_path
+from stopwise.workspace import new_path, staged
 
 SCORED = """
 SELECT route_id, segment_position, is_depot_segment, round(prediction, 4) AS prediction
@@ -118,14 +118,19 @@ def _(k):
 
 
 def explained(k):
-    train, test = encoded_sides(k)
-    models = boosted.boosted_by_population(train)
-    parts = []
-    for flag, zone in ((0, [boosted.ZONE]), (1, [])):
-        features = [*boosted.FEATURES[flag], boosted.STATION, *zone]
-        rows = test.filter(F.col(boosted.POP) == flag)
-        parts.append(explain.tree_contributions(rows, models[flag].stages[-1], features))
-    return parts[0].unionByName(parts[1])
+    """Contributions and predictions of the specialists on held-out segments, written on first use."""
+    if "explained" not in k.written:
+        train, test = encoded_sides(k)
+        models = boosted.boosted_by_population(train)
+        parts, scores = [], []
+        for flag, zone in ((0, [boosted.ZONE]), (1, [])):
+            features = [*boosted.FEATURES[flag], boosted.STATION, *zone]
+            rows = test.filter(F.col(boosted.POP) == flag)
+            parts.append(explain.tree_contributions(rows, models[flag].stages[-1], features))
+            scores.append(models[flag].transform(rows).select("route_id", "segment_position", "prediction"))
+        k.written["explained"] = staged(parts[0].unionByName(parts[1]), "explained")
+        k.written["explained_scores"] = staged(scores[0].unionByName(scores[1]), "explained-scores")
+    return k.written["explained"]
 
 
 @query("tree_contributions")
@@ -139,6 +144,26 @@ def _(k):
     return rounded(explain.global_importance(explained(k)), 4, "mean_abs_min", "percent")
 
 
+@query("tree_additivity", "hold", """
+SELECT is_depot_segment, count(*) AS segments, count(*) AS exact FROM hold GROUP BY 1""")
+def _(k):
+    """Segments whose base and contributions add up to the prediction."""
+    keys = ["route_id", "segment_position"]
+    sums = explained(k).groupBy(*keys, boosted.POP).agg(
+        (F.sum("contribution_seconds") + F.max("base_seconds")).alias("total")
+    )
+    joined = sums.join(k.written["explained_scores"], keys)
+    exact = F.abs(F.col("total") - F.col("prediction")) <= 1e-6 * F.greatest(F.lit(1.0), F.abs("prediction"))
+    return joined.groupBy(boosted.POP).agg(F.count("*").alias("segments"), F.count(F.when(exact, 1)).alias("exact"))
+
+
+@query("tree_importance_total", "hold", """
+SELECT is_depot_segment, 100.0::DOUBLE AS percent FROM hold GROUP BY 1""")
+def _(k):
+    shares = explain.global_importance(explained(k)).groupBy(boosted.POP).agg(F.sum("percent").alias("percent"))
+    return rounded(shares, 6, "percent")
+
+
 @query("complete_planned_routes", "plegs", """
 SELECT route_id, station_code, position, stop_id, from_stop_id, to_zone_id, same_zone,
   is_depot_segment, km AS segment_distance_km, cumulative_distance_km, packages_at_destination,
@@ -161,6 +186,22 @@ def _(k):
     )
 
 
+@query("proposal_checks", "plegs line", """
+SELECT route_id, count(*) AS stops, round(sum(greatest(0, slope * km + icpt)), 3) AS given_seconds,
+  true AS is_permutation
+FROM plegs JOIN line USING (is_depot_segment) GROUP BY 1""")
+def _(k):
+    """Does every proposal hold each stop of its route once, and what does the given order cost?"""
+    proposals = k.get("proposals")
+    given = planning.order_seconds(proposals, "position", k.get("lines")).withColumnRenamed("seconds", "given_seconds")
+    stops, places = F.count("*"), F.countDistinct("proposed_position")
+    same = F.bit_xor(F.xxhash64("position")) == F.bit_xor(F.xxhash64("proposed_position"))
+    ends = (F.min("proposed_position") == 1) & (F.max("proposed_position") == stops)
+    flags = proposals.groupBy("route_id").agg(stops.alias("stops"), (same & ends & (places == stops)).alias("is_permutation"))
+    out = flags.join(given, "route_id").select("route_id", "stops", "given_seconds", "is_permutation")
+    return rounded(out, 3, "given_seconds")
+
+
 @query("original_order_seconds", "plegs line", """
 SELECT route_id, round(sum(greatest(0, slope * km + icpt)), 3) AS seconds
 FROM plegs JOIN line USING (is_depot_segment) GROUP BY 1""")

@@ -76,46 +76,64 @@ def _(k):
     )
 
 
-# ---- from raw documents ----
+# ---- from raw documents in files ----
+
+
+def raw(k, name):
+    """Folders of raw documents, written on first use."""
+    build = {
+        "routes": lambda: bronze.route_lines(k.get("keyed_routes"), k.get("keyed_stops")),
+        "packages": lambda: bronze.package_lines(k.get("packages")),
+        "sequences": lambda: bronze.sequence_lines(k.get("keyed_stops")),
+        "scores": lambda: bronze.score_lines(k.get("invalid_scores")),
+        "matrix": lambda: bronze.matrix_lines(k.get("keyed_stops"), k.get("segments")),
+        "weather": lambda: bronze.weather_lines(k.get("weather"), documents.DAILY),
+        "holidays": lambda: bronze.holiday_lines(k.get("holidays")),
+    }
+    if name not in k.raw:
+        docs = build[name]()
+        if name in ("weather", "holidays"):
+            k.raw[name] = [new_path(k.spark, f"raw-{name}")]
+            docs.write.text(k.raw[name][0])
+        else:
+            k.raw[name] = bronze.written(docs, f"raw-{name}")
+    return k.raw[name]
 
 
 @query("silver_routes", "rt", """
 SELECT * REPLACE (round(avg_stop_lat, 9) AS avg_stop_lat, round(avg_stop_lng, 9) AS avg_stop_lng)
 FROM rt""")
 def _(k):
-    docs = bronze.route_lines(k.get("keyed_routes"), k.get("keyed_stops"))
-    return rounded(documents.parse_routes(docs), 9, "avg_stop_lat", "avg_stop_lng")
+    return rounded(documents.read_routes(k.spark, raw(k, "routes")), 9, "avg_stop_lat", "avg_stop_lng")
 
 
 @query("silver_stops", "ks", """
 SELECT route_id, stop_id, station_code, route_date, lat, lng, stop_type, zone_id, is_station
 FROM ks""")
 def _(k):
-    docs = bronze.route_lines(k.get("keyed_routes"), k.get("keyed_stops"))
-    return documents.parse_stops(docs)
+    return documents.read_stops(k.spark, raw(k, "routes"))
 
 
 @query("silver_packages", "packages_", "SELECT * FROM packages_")
 def _(k):
-    return documents.parse_packages(bronze.package_lines(k.get("packages")))
+    return documents.read_packages(k.spark, raw(k, "packages"))
 
 
 @query("silver_sequences", "ks", """
 SELECT route_id, stop_id, position AS actual_sequence_position FROM ks""")
 def _(k):
-    return documents.parse_sequences(bronze.sequence_lines(k.get("keyed_stops")))
+    return documents.read_sequences(k.spark, raw(k, "sequences"))
 
 
 @query("invalid_scores", "inv", "SELECT * FROM inv")
 def _(k):
-    return documents.parse_invalid_scores(bronze.score_lines(k.get("invalid_scores")))
+    return documents.read_invalid_scores(k.spark, raw(k, "scores"))
 
 
 @query("travel_segments", "seg", """
 SELECT * FROM seg WHERE (CAST(substr(route_id, 2) AS BIGINT) + segment_position) % 97 <> 0""")
 def _(k):
-    docs = bronze.matrix_lines(k.get("keyed_stops"), k.get("segments"))
-    return matrix.travel_segments(k.get("sequences"), documents.parse_matrix_rows(docs))
+    return matrix.travel_segments(k.get("sequences"), documents.read_matrix_rows(k.spark, raw(k, "matrix")))
 
 
 @query("travel_matrix", "seg", """
@@ -123,16 +141,14 @@ SELECT route_id, from_stop_id, to_stop_id, travel_time_seconds FROM seg
 WHERE (CAST(substr(route_id, 2) AS BIGINT) + segment_position) % 97 <> 0
 UNION ALL SELECT route_id, to_stop_id, from_stop_id, travel_time_seconds + 1 FROM seg""")
 def _(k):
-    docs = bronze.matrix_lines(k.get("keyed_stops"), k.get("segments"))
-    return documents.parse_travel_matrix(docs)
+    return documents.read_travel_matrix(k.spark, raw(k, "matrix"))
 
 
 @query("pair_lookup", "seg", """
 SELECT * FROM seg WHERE (CAST(substr(route_id, 2) AS BIGINT) + segment_position) % 97 <> 0""")
 def _(k):
-    docs = bronze.matrix_lines(k.get("keyed_stops"), k.get("segments"))
     pairs = st.consecutive_pairs(k.get("sequences"))
-    return st.lookup_consecutive_pairs(pairs, documents.parse_travel_matrix(docs))
+    return st.lookup_consecutive_pairs(pairs, documents.read_travel_matrix(k.spark, raw(k, "matrix")))
 
 
 @query("matrix_coverage", "ks seg", """
@@ -144,18 +160,17 @@ SELECT (SELECT count(DISTINCT route_id) FROM seg) AS travel_time_routes,
     AS travel_time_segments
 FROM seg""")
 def _(k):
-    docs = bronze.matrix_lines(k.get("keyed_stops"), k.get("segments"))
-    return matrix.matrix_coverage(k.get("sequences"), documents.parse_matrix_rows(docs))
+    return matrix.matrix_coverage(k.get("sequences"), documents.read_matrix_rows(k.spark, raw(k, "matrix")))
 
 
 @query("weather_daily", "wx", "SELECT * FROM wx")
 def _(k):
-    return documents.parse_weather(bronze.weather_lines(k.get("weather"), documents.DAILY))
+    return documents.read_weather(k.spark, raw(k, "weather"), wholetext=False)
 
 
 @query("holidays", "hol", "SELECT * FROM hol")
 def _(k):
-    return documents.parse_holidays(bronze.holiday_lines(k.get("holidays")))
+    return documents.read_holidays(k.spark, raw(k, "holidays"), wholetext=False)
 
 
 @query("calendar_daily", "cal", "SELECT * FROM cal")
@@ -298,9 +313,7 @@ def _(k):
     write_table(k.get("gold_segments"), path, schemas.GOLD_SEGMENTS, csv=True)
     by_csv = k.spark.read.schema(schemas.GOLD_SEGMENTS).csv(f"{path}.csv", header=True)
     by_parquet = read_table(k.spark, path, schemas.GOLD_SEGMENTS)
-    return by_parquet.join(
-        by_csv.select("route_id", "segment_position"), ["route_id", "segment_position"], "left_semi"
-    )
+    return by_parquet.intersectAll(by_csv)  # rows that are equal in every column
 
 
 @query("scalar_functions", "g_seg", f"""

@@ -1,9 +1,9 @@
 """Raw documents to tables.
 
-A document is JSON text keyed by route. Each line of a source holds one object of that shape with
-one route, several, or part of one (some of its stops or packages), so a source splits at line ends
-and no task has to hold a whole route. A small classic file, one object for everything, is read
-with ``wholetext=True``.
+A document is JSON text keyed by route: one object for everything, or lines with an object each that
+holds one route, several, or part of one (some of its stops or packages). Files of both kinds are
+read in ranges as lines of the second kind, so that no task has to hold a whole file or route.
+Weather and holidays come as one small object a file or a line.
 """
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from stopwise import schemas
 from stopwise.functions import scalars
 from stopwise.functions.scalars import number_or_null, text_or_null
+from stopwise.sources.json_ranges import small_objects
 
 # Field names of the raw documents.
 ROUTE_DOC = (
@@ -55,7 +56,7 @@ HOLIDAY_DOC = (
 # End of fixed values.
 
 
-def lines(spark: SparkSession, path: str, wholetext: bool = False) -> DataFrame:
+def lines(spark: SparkSession, path: str | list[str], wholetext: bool = False) -> DataFrame:
     return spark.read.text(path, wholetext=wholetext)
 
 
@@ -128,9 +129,15 @@ def parse_routes(docs: DataFrame) -> DataFrame:
 
 
 def parse_stops(docs: DataFrame) -> DataFrame:
-    s = _parsed_routes(docs).select(
-        "route_id", "station_code", "route_date", F.explode("stops").alias("stop_id", "s")
+    parsed = _parsed_routes(docs)
+    s = parsed.select("route_id", "station_code", "route_date", F.explode("stops").alias("stop_id", "s"))
+    # a line that begins within a route has none of its attributes; there are few of these
+    bare = F.col("station_code").isNull() & F.col("route_date").isNull()
+    known = parsed.where(~bare).groupBy("route_id").agg(
+        F.max("station_code").alias("station_code"), F.max("route_date").alias("route_date")
     )
+    rest = s.where(bare).drop("station_code", "route_date").join(known, "route_id", "left")
+    s = s.where(~bare).unionByName(rest)
     return scalars.conform(
         s.select(
             "*",
@@ -249,33 +256,37 @@ def parse_holidays(docs: DataFrame) -> DataFrame:
     )
 
 
-def read_routes(spark, path, wholetext=False):
-    return parse_routes(lines(spark, path, wholetext))
+def read_routes(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    return parse_routes(small_objects(spark, path))
 
 
-def read_stops(spark, path, wholetext=False):
-    return parse_stops(lines(spark, path, wholetext))
+def read_stops(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    return parse_stops(small_objects(spark, path))
 
 
-def read_packages(spark, path, wholetext=False):
-    return parse_packages(lines(spark, path, wholetext))
+def read_packages(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    return parse_packages(small_objects(spark, path))
 
 
-def read_sequences(spark, path, wholetext=False):
-    return parse_sequences(lines(spark, path, wholetext))
+def read_sequences(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    return parse_sequences(small_objects(spark, path))
 
 
-def read_invalid_scores(spark, path, wholetext=False):
-    return parse_invalid_scores(lines(spark, path, wholetext))
+def read_invalid_scores(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    return parse_invalid_scores(small_objects(spark, path))
 
 
-def read_travel_matrix(spark, path, wholetext=False):
-    return parse_travel_matrix(lines(spark, path, wholetext))
+def read_matrix_rows(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    return parse_matrix_rows(small_objects(spark, path))
 
 
-def read_weather(spark, path, wholetext=True):
+def read_travel_matrix(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    return parse_travel_matrix(small_objects(spark, path))
+
+
+def read_weather(spark: SparkSession, path: str | list[str], wholetext: bool = True) -> DataFrame:
     return parse_weather(lines(spark, path, wholetext))
 
 
-def read_holidays(spark, path, wholetext=True):
+def read_holidays(spark: SparkSession, path: str | list[str], wholetext: bool = True) -> DataFrame:
     return parse_holidays(lines(spark, path, wholetext))

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 import __spark_entry__ as entry  # noqa: E402
+from stopwise.plans import catalogue  # noqa: E402
 from stopwise.plans.lake import lake  # noqa: E402
 from tools.check import TABLES, rows_of, same  # noqa: E402
 
@@ -36,6 +37,13 @@ def test_same_as_sql(spark, duck, name):
         assert all(same(a, b) for a, b in zip(g, w)), (g, w)
 
 
+@pytest.mark.parametrize("name", sorted(set(catalogue.QUERIES) - set(SQL)))
+def test_queries_without_sql_give_rows(spark, name):
+    df = QUERIES[name](spark, SF)
+    rows = df.collect()
+    assert rows and all(any(v is not None for v in r) for r in rows)
+
+
 def test_invariants(spark):
     k = lake(spark, SF)
     stops, routes = k.get("stops").count(), k.get("routes").count()
