@@ -4,6 +4,8 @@ The words of every source, its documents shuffled, form blocks of equal length.
 schedule takes the golden-ratio point i * phi mod 1; the source whose stretch of the cumulative
 weights holds the point gives its next block. So every stretch of the schedule holds the sources in
 their proportions, and a source that must give more than it has starts again from its first block.
+Each source is settled at its target: the block in which it lies is cut there, later slots give
+nothing, and a source that the schedule leaves short gives its next blocks behind it.
 """
 
 from pyspark.sql import DataFrame, SparkSession
@@ -19,6 +21,7 @@ MODULUS = 1 << 31
 REPEATS = 3
 STRETCHES = 1024
 SEGMENT = 1 << 16
+BLOCK = 4096  # words
 
 
 def source_targets(sources: DataFrame, weights: tuple[int, ...]) -> DataFrame:
@@ -87,17 +90,13 @@ def schedule(targets: DataFrame, slots: int) -> DataFrame:
     )
 
 
-def mix(
-    documents: DataFrame, weights: tuple[int, ...] = (1, 2, 3), settle: bool = False, block: int | None = None
-) -> DataFrame:
+def mix(documents: DataFrame, weights: tuple[int, ...] = (1, 2, 3), block: int = BLOCK) -> DataFrame:
     """doc_id, source, size, source_size, target, taken for every document.
 
     Weights are dealt to the sources by code point, null last, repeating. A null text has size 0;
     documents of size 0 take 0; repeated rows are documents of their own; an empty table gives an
-    empty result. Other columns of the input are not read. Blocks hold 4096 words, fewer in small
-    corpora so that there are about a million slots, or ``block``. Whole blocks give a source up to
-    some blocks more or less than its target, and may give one shorter than a block nothing.
-    ``settle`` ends every source at its rounded target instead, within the block where that lies.
+    empty result. Other columns of the input are not read. The taken words of a source are its
+    rounded target, whatever the length of a ``block``.
     """
     docs = staged(
         documents.select(
@@ -118,36 +117,40 @@ def mix(
         staged(named, "mix-named"), "number", "key", [F.col("doc_id"), F.col("size")],
         F.col("size"), digits_for(docs.count() // 4), "start",
     )
+    placed = staged(placed, "mix-placed")
     end = F.col("start") + F.col("size")
     kept = ["doc_id", "source", "size", "source_size", "target"]
-    if settle:
-        # a source gives its blocks in order, again and again: what it gives is its first ``goal`` words
-        goal = F.least(F.round("target").cast("long"), F.col("source_size") * REPEATS)
-        rest = F.when(F.col("source_size") > 0, F.col("_goal") % F.col("source_size"))
-        again = F.expr("_goal div nullif(source_size, 0)") * F.col("size")
-        part = F.greatest(F.least(end, rest) - F.col("start"), F.lit(0))
-        taken = F.when(F.col("size") > 0, (again + part).cast("long")).otherwise(F.lit(0).cast("long"))
-        return placed.withColumn("_goal", goal).select(*kept, taken.alias("taken"))
     total = targets.agg(F.coalesce(F.sum("source_size"), F.lit(0))).first()[0]
-    block = block or min(4096, max(1, total >> 20))
-    blocks = F.ceil(F.col("source_size") / block)
+
+    # slots that bring a source to its goal; the last of them, on its last lap, is cut there
+    goal = F.least(F.round("target").cast("long"), F.col("source_size") * REPEATS)
+    goals = targets.where("source_size > 0").withColumn("goal", goal).withColumn("blocks", F.ceil(F.col("source_size") / block))
+    goals = goals.withColumn("lap", F.expr("goal div source_size")).withColumn("rest", F.col("goal") % F.col("source_size"))
+    goals = goals.withColumn("slots", F.col("lap") * F.col("blocks") + F.ceil(F.col("rest") / block))
+    goals = staged(goals.select("number", "blocks", "rest", "slots"), "mix-goals")
+    given = schedule(targets, -(-total // block))
+    had = staged(given.groupBy("number").agg(F.count("*").alias("had")), "mix-had")
+    short = goals.join(had, "number", "left").where(F.coalesce("had", F.lit(0)) < F.col("slots"))
+    behind = F.explode(F.sequence(F.coalesce("had", F.lit(0)), F.col("slots") - 1))
+    given = given.unionByName(short.select("number", behind.alias("rank")))
+    cut = (F.col("rank") == F.col("slots") - 1) & (F.col("rest") > 0)
     uses = (
-        schedule(targets, -(-total // block))
-        .join(targets.select("number", "source_size"), "number")
-        .where(F.col("rank") < blocks * REPEATS)
-        .groupBy("number", (F.col("rank") % blocks).alias("block"))
-        .agg(F.count("*").alias("uses"))
+        given.join(goals, "number")
+        .where(F.col("rank") < F.col("slots"))
+        .groupBy("number", (F.col("rank") % F.col("blocks")).alias("block"))
+        .agg(F.sum(F.when(cut, 0).otherwise(1)).alias("uses"), F.max(F.when(cut, F.col("rest"))).alias("until"))
     )
-    placed = staged(placed, "mix-placed")
     pieces = placed.where("size > 0").withColumn(
         "block", F.explode(F.sequence(F.floor(F.col("start") / block), F.floor((end - 1) / block)))
     )
-    overlap = F.least(end, (F.col("block") + 1) * block) - F.greatest("start", F.col("block") * block)
+    first = F.greatest("start", F.col("block") * block)
+    overlap = F.least(end, (F.col("block") + 1) * block) - first
+    part = F.when(F.col("until").isNotNull(), F.greatest(F.least(end, F.col("until")) - first, F.lit(0)))
     # documents with words start at different places of their source
     taken = (
         pieces.join(uses, ["number", "block"], "left")
         .groupBy("number", "start", *kept)
-        .agg(F.sum(overlap * F.coalesce("uses", F.lit(0))).cast("long").alias("taken"))
+        .agg(F.sum(overlap * F.coalesce("uses", F.lit(0)) + F.coalesce(part, F.lit(0))).cast("long").alias("taken"))
         .select(*kept, "taken")
     )
     empty = placed.where("size = 0").select(*kept, F.lit(0).cast("long").alias("taken"))
@@ -155,13 +158,14 @@ def mix(
 
 
 def mixed_documents(documents: DataFrame) -> DataFrame:
-    """The mix as rows: every document as often as the mix takes it, rounded to whole documents.
-    Sources are settled at their targets. A document without words stays once. Columns and texts are those of the input; the columns
-    doc_id, source and text must be there, names with an underscore first must not. Repeated rows of one doc_id share their mean share."""
+    """The mix as rows: every document as often as the mix takes it, rounded to whole documents. A
+    document without words stays once. Columns and texts are those of the input, whatever their names;
+    doc_id, source and text must be there. Repeated rows of one doc_id share their mean share."""
+    mark = "_" * (1 + max((len(c) for c in documents.columns), default=0))  # no column has such a name
     ratio = F.when(F.sum("size") > 0, F.sum("taken") / F.sum("size")).otherwise(F.lit(1.0))
-    shares = mix(documents, settle=True).groupBy(F.col("doc_id").alias("_id")).agg(F.round(ratio).cast("int").alias("_copies"))
-    joined = documents.join(shares, documents["doc_id"].eqNullSafe(F.col("_id")))
-    copies = joined.where("_copies > 0").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies"))))
+    shares = mix(documents).groupBy(F.col("doc_id").alias(mark)).agg(F.round(ratio).cast("int").alias(mark + "n"))
+    joined = documents.join(shares, documents["doc_id"].eqNullSafe(F.col(mark)))
+    copies = joined.where(F.col(mark + "n") > 0).withColumn(mark + "k", F.explode(F.sequence(F.lit(1), F.col(mark + "n"))))
     return copies.select(*[documents[c] for c in documents.columns])
 
 
@@ -192,32 +196,15 @@ t AS (
            / sum(CASE WHEN NOT full_up THEN weight END) OVER ()) END AS target
   FROM f),
 g AS MATERIALIZED (
-  SELECT source, source_size, number, target, CAST(total AS BIGINT) AS total,
-         greatest(1, least(4096, CAST(total AS BIGINT) >> 20)) AS block,
-         coalesce(sum(target) OVER (ORDER BY number ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) / total, 0E0) AS lo,
-         coalesce(sum(target) OVER (ORDER BY number ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) / total, 0E0) AS hi
-  FROM t),
-p AS (
-  SELECT i, i % 2147483648 * 1327217885 % 2147483648 / 2147483648E0 AS point
-  FROM (SELECT unnest(generate_series(1, (SELECT max((total + block - 1) // block) FROM g))) AS i)),
-r AS (
-  SELECT number, row_number() OVER (PARTITION BY number ORDER BY i) - 1 AS rank,
-         (source_size + block - 1) // block AS blocks, block AS size_of
-  FROM p JOIN g ON point >= lo AND point < hi),
-u AS (SELECT number, rank % blocks AS block, count(*) AS uses FROM r WHERE rank < 3 * blocks GROUP BY ALL),
-w AS MATERIALIZED (
-  SELECT doc_id, d.source, size, source_size, target, number, g.block AS size_of,
-         row_number() OVER () AS ord,
+  SELECT source, source_size, number, target, least(CAST(round(target) AS BIGINT), 3 * source_size) AS goal FROM t),
+w AS (
+  SELECT doc_id, d.source, size, source_size, target, goal,
          CAST(coalesce(sum(size) OVER (PARTITION BY number ORDER BY key, doc_id, size
            ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS start
-  FROM d JOIN g ON d.source IS NOT DISTINCT FROM g.source),
-e AS (
-  SELECT *, unnest(generate_series(start // size_of, (start + size - 1) // size_of)) AS block
-  FROM w WHERE size > 0),
-k AS (
-  SELECT ord, sum((least(start + size, (e.block + 1) * size_of) - greatest(start, e.block * size_of))
-                 * coalesce(uses, 0)) AS taken
-  FROM e LEFT JOIN u ON e.number = u.number AND e.block = u.block GROUP BY ord)
-SELECT doc_id, size, source_size, target, CAST(coalesce(taken, 0) AS BIGINT) AS taken, source
-FROM w LEFT JOIN k USING (ord)
+  FROM d JOIN g ON d.source IS NOT DISTINCT FROM g.source)
+-- a source gives its words in order, again and again, until its goal
+SELECT doc_id, size, source_size, target, source,
+       CASE WHEN size = 0 THEN CAST(0 AS BIGINT) ELSE CAST((goal // source_size) * size
+         + greatest(least(start + size, goal % source_size) - start, 0) AS BIGINT) END AS taken
+FROM w
 """

@@ -2,25 +2,29 @@
 
 import collections
 
+import pytest
+
 from stopwise.llm import mixing
 
 
-def test_small_source_beside_large_blocks(spark):
-    rows = [(i, "w " * 10, "small") for i in range(5)] + [(100 + i, "w " * 500, "big") for i in range(60)]
-    rows += [(200, "", "small"), (201, None, None)]
-    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+@pytest.mark.parametrize("block", [1, 7, 64, 4096])
+def test_small_source_beside_large_blocks(spark, block):
+    rows = [(i, "w " * 10, "small", "x") for i in range(5)] + [(100 + i, "w " * 500, "big", "x") for i in range(60)]
+    rows += [(200, "", "small", "x"), (201, None, None, "x")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, _id string")
+    taken, goals = collections.Counter(), {}
+    for r in mixing.mix(docs, block=block).collect():
+        assert 0 <= r.taken <= 3 * r.size
+        taken[r.source] += r.taken
+        goals[r.source] = round(r.target)
+    assert goals["small"] == 150
+    assert dict(taken) == goals
 
-    def taken(**how):
-        out = collections.Counter()
-        for r in mixing.mix(docs, block=4096, **how).collect():
-            assert 0 <= r.taken <= 3 * r.size
-            out[r.source] += r.taken
-        return out
 
-    goals = {r.source: round(r.target) for r in mixing.mix(docs).collect()}
-    assert goals["small"] == 150
-    assert dict(taken(settle=True)) == goals
-    assert taken()["small"] != 150  # whole blocks cannot give it
+def test_rows_of_the_mix(spark):
+    rows = [(i, "w " * 10, "small", "x") for i in range(5)] + [(100 + i, "w " * 500, "big", "x") for i in range(60)]
+    docs = spark.createDataFrame([*rows, (200, "", "small", "x")], "doc_id long, text string, source string, _id string")
     # five documents three times each, and the empty one once
-    mixed = collections.Counter(r.source for r in mixing.mixed_documents(docs).collect())
-    assert mixed["small"] == 15 + 1
+    mixed = mixing.mixed_documents(docs)
+    assert mixed.columns == docs.columns
+    assert collections.Counter(r.source for r in mixed.collect())["small"] == 15 + 1
