@@ -1,6 +1,5 @@
 """Operators on web pages, the pipeline, and the queries against their SQL at the smallest scale."""
 
-import json
 import os
 import sys
 
@@ -94,13 +93,13 @@ def test_expressions():
 def test_many_expressions_of_a_host(spark):
     labels = ["p", "h", "d", "q", "u"]
     rows = [
-        ("x", json.dumps(html_text.expression([(("b", labels[int(c)]), (0, i + 1)) for i, c in enumerate(f"{n:b}")])))
+        ("x", html_text.packed(html_text.expression([(("b", labels[int(c)]), (0, i + 1)) for i, c in enumerate(f"{n:b}")])))
         for n in range(1, 400)
     ]
     df = spark.createDataFrame([*rows, ("y", rows[0][1])], "host string, wrapper string")
-    got = {r.host: json.loads(r.wrapper) for r in html_text.host_wrappers(df, fan_in=4).collect()}
+    got = {r.host: html_text.unpacked(r.wrapper) for r in html_text.host_wrappers(df, fan_in=4).collect()}
     assert set(html_text.slots(got["x"])) == {("b", "p"), ("b", "h")}
-    assert got["y"] == json.loads(rows[0][1])
+    assert got["y"] == html_text.unpacked(rows[0][1])
 
 
 def test_cascade_is_exact(spark):
