@@ -1,5 +1,6 @@
 """Bloom filters as column expressions: cells of a key, filters as arrays of words, the test."""
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -22,6 +23,17 @@ def cells(h: Column, size: int, hashes: int) -> list[Column]:
     return [(a + b * F.lit(i)).bitwiseAND(F.lit(size - 1)) for i in range(hashes)]
 
 
+def holds(size: int, words: np.ndarray, hashes: np.ndarray, count: int) -> np.ndarray:
+    """Which of the 64-bit hashes are in a filter of ``count`` cells a hash, given whole in numpy."""
+    h = hashes.astype(np.uint64)
+    a, b = h & np.uint64((1 << 31) - 1), (h >> np.uint64(33)) | np.uint64(1)
+    held = np.ones(len(h), bool)
+    for i in range(count):
+        cell = (a + b * np.uint64(i)) & np.uint64(size - 1)
+        held &= (words[cell >> np.uint64(6)] >> (cell & np.uint64(63))) & np.uint64(1) == 1
+    return held
+
+
 def filter_pages(set_cells: DataFrame, size: int) -> DataFrame:
     """(page, words): every page of the filter in which the cells in column ``cell`` are set."""
     words = set_cells.groupBy(F.shiftright("cell", 6).alias("word")).agg(

@@ -24,10 +24,10 @@ from pyspark.sql import functions as F
 
 from stopwise.llm import bloom
 from stopwise.llm.tables import read, small_batches
-from stopwise.llm.url_filter import HASHES, holds
 from stopwise.workspace import staged
 
 GRAM = 32
+HASHES = 4
 PLACE_BITS = 26
 CHUNK = 1 << 21
 SORT_ROWS = 8_000
@@ -138,6 +138,30 @@ def filter_of(keys: DataFrame, bits_per_key: int, limit_bytes: int) -> tuple[int
 RUN = "id long, mark long, first long, last long, place int, gram long, r1 long, r2 long, content binary"
 
 
+def without_periods(raw, text, first, last, anchor, gram, length: int):
+    """Which runs to keep, and stretches (first, last) of strings that repeat each other.
+
+    In bytes of a short period every period is a run, each equal to the one before. The first two of
+    such runs speak for the others, whose strings are repeated whatever else there is.
+    """
+    same = np.zeros(len(first), bool)  # like the run before, one step on
+    step = np.diff(first)
+    same[1:] = (gram[1:] == gram[:-1]) & (step == np.diff(anchor)) & (step == np.diff(last)) & (text[first[1:]] == text[first[:-1]])
+    same[1:] &= step <= length - GRAM
+    same[2:] &= ~same[1:-1] | (step[1:] == step[:-1])
+    kept, sure = np.ones(len(first), bool), []
+    edges = np.diff(np.concatenate([[0], same.astype(np.int8), [0]]))
+    for a, b in zip(np.flatnonzero(edges == 1).tolist(), np.flatnonzero(edges == -1).tolist()):
+        if b - a < 2:
+            continue
+        # runs a - 1 to b - 1; equal as the bytes under them have this period
+        start, end, period = int(first[a - 1]), int(last[b - 1]) + length, int(first[a] - first[a - 1])
+        if raw[start : end - period] == raw[start + period : end]:
+            kept[a + 1 : b] = False
+            sure.append((int(first[a + 1]), int(last[b - 1])))
+    return kept, np.array(sure, np.int64).reshape(-1, 2)
+
+
 def possible_runs(rows: DataFrame, size: int, words: np.ndarray, length: int) -> DataFrame:
     """Runs whose gram is in the filter, with the hash and the bytes of their strings."""
 
@@ -146,17 +170,25 @@ def possible_runs(rows: DataFrame, size: int, words: np.ndarray, length: int) ->
             ids, marks = batch.column(1), batch.column(2)
             for buffer, text, starts, offsets, numbers in chunks(batch.column(0).to_pylist(), length):
                 first, last, anchor, gram = runs(buffer, text, length)
-                kept = holds(size, words, gram)
+                kept = bloom.holds(size, words, gram, HASHES)
                 first, last, anchor, gram = first[kept], last[kept], anchor[kept], gram[kept]
                 if not len(first):
                     continue
                 raw = buffer.tobytes()
+                kept, sure = without_periods(raw, text, first, last, anchor, gram, length)
+                first, last, anchor, gram = first[kept], last[kept], anchor[kept], gram[kept]
                 content = [raw[a : b + length] for a, b in zip(first.tolist(), last.tolist())]
                 digests = b"".join([xxhash.xxh3_128_digest(c) for c in content])
                 both = np.frombuffer(digests, ">i8").astype(np.int64).reshape(-1, 2)
                 part = text[first]
                 shift = offsets[part] - starts[part]
                 taken = pa.array(numbers[part])
+                if len(sure):
+                    part = text[sure[:, 0]]
+                    shift2 = offsets[part] - starts[part]
+                    whose, none = pa.array(numbers[part]), [pa.nulls(len(sure), k) for k in (pa.int32(), *[pa.int64()] * 3, pa.binary())]
+                    ends = [pa.array(sure[:, k] + shift2) for k in (0, 1)]
+                    yield pa.RecordBatch.from_arrays([ids.take(whose), marks.take(whose), *ends, *none], names=[c.split()[0] for c in RUN.split(", ")])
                 yield pa.RecordBatch.from_arrays(
                     [
                         ids.take(taken),
@@ -283,7 +315,9 @@ def removal_spans(rows: DataFrame, length: int) -> DataFrame:
     """(id, mark, spans): starts and ends of repeated strings of every text that has some."""
     grams = staged(repeated_grams(rows, length), "repeated-grams")
     size, words = filter_of(grams, 10, 1 << 26)
-    possible = staged(possible_runs(rows, size, words, length), "possible-runs")
+    everything = staged(possible_runs(rows, size, words, length), "possible-runs")
+    possible = everything.where("content IS NOT NULL")
+    sure = everything.where("content IS NULL").select("id", "mark", F.array("first", "last").alias("s"))
     kinds = possible.groupBy("gram", "r1", "r2").agg(F.count("*").alias("n"), F.first("place").alias("place"))
     kinds = staged(kinds, "run-kinds")
     several = kinds.groupBy(F.col("gram").alias("_gram")).agg(F.count("*").alias("k"), F.min("n").alias("least"))
@@ -311,7 +345,7 @@ def removal_spans(rows: DataFrame, length: int) -> DataFrame:
     spans = F.coalesce(F.col("spans").cast("array<long>"), whole)
     found = possible.select("id", "mark", "first", "last", "r1", "r2").join(repeated, same)
     found = found.select("id", "mark", F.transform(spans, lambda x: x + F.col("first")).alias("s"))
-    return found.groupBy("id", "mark").agg(F.flatten(F.collect_list("s")).alias("spans"))
+    return found.unionByName(sure).groupBy("id", "mark").agg(F.flatten(F.collect_list("s")).alias("spans"))
 
 
 def remove_repeats(
