@@ -73,12 +73,17 @@ def boosted_single(train: DataFrame, loss: str, **params) -> PipelineModel:
     return regressor(features, loss, **params).fit(train)
 
 
+def features_of(flag: int, zone: bool = True) -> list[str]:
+    """Features of a specialist; the zone only means something on delivery legs."""
+    return [*FEATURES[flag], STATION, *([ZONE] if zone and flag == 0 else [])]
+
+
 def boosted_by_population(train: DataFrame, zone: bool = True, loss: str = "absolute", **params):
-    """One specialist per population; the zone only means something on delivery legs."""
+    """One specialist per population."""
     models = {}
-    for flag, numeric in FEATURES.items():
-        features = [*numeric, STATION, *([ZONE] if zone else [])]
-        models[flag] = regressor(features, loss, **params).fit(train.filter(F.col(POP) == flag))
+    for flag in FEATURES:
+        rows = train.filter(F.col(POP) == flag)
+        models[flag] = regressor(features_of(flag, zone), loss, **params).fit(rows)
     return models
 
 
@@ -137,7 +142,10 @@ def candidate_predictions(df: DataFrame, k: int, **params) -> tuple[DataFrame, l
         parts = [line.select(*keep, F.lit("line").alias("candidate"), "prediction")]
         for name in CANDIDATES[1:]:
             zone = name.endswith("zone")
-            for flag, model in boosted_by_population(train, zone, **params).items():
+            # with and without a zone the depot's specialist is the same
+            for flag in FEATURES if not zone else [0]:
+                features = features_of(flag, zone)
+                model = regressor(features, "absolute", **params).fit(train.filter(F.col(POP) == flag))
                 scored = model.transform(test.filter(F.col(POP) == flag))
                 parts.append(
                     scored.select(
@@ -146,7 +154,6 @@ def candidate_predictions(df: DataFrame, k: int, **params) -> tuple[DataFrame, l
                         clip_non_negative(F.col("prediction")).alias("prediction"),
                     )
                 )
-                features = [*FEATURES[flag], STATION, *([ZONE] if zone else [])]
                 gains += importance(
                     model, features, candidate=name, population=str(flag), fold=str(f)
                 )

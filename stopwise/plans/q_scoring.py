@@ -123,8 +123,8 @@ def explained(k):
         train, test = encoded_sides(k)
         models = boosted.boosted_by_population(train)
         parts, scores = [], []
-        for flag, zone in ((0, [boosted.ZONE]), (1, [])):
-            features = [*boosted.FEATURES[flag], boosted.STATION, *zone]
+        for flag in boosted.FEATURES:
+            features = boosted.features_of(flag)
             rows = test.filter(F.col(boosted.POP) == flag)
             parts.append(explain.tree_contributions(rows, models[flag].stages[-1], features))
             scores.append(models[flag].transform(rows).select("route_id", "segment_position", "prediction"))
