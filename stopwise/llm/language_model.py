@@ -219,8 +219,8 @@ def added(docs: DataFrame, tasks: int, measure, rows: int, columns: int) -> np.n
         )
 
     parts = docs.select("ids").coalesce(tasks).mapInArrow(run, "k int, v binary")
-    out = np.zeros((rows * columns // size, size))
-    for r in parts.repartition("k").mapInArrow(add, "k int, v binary").collect():
+    out = np.zeros((rows * columns // size, size), np.float32)
+    for r in parts.repartition("k").mapInArrow(add, "k int, v binary").toLocalIterator():
         out[r["k"]] = np.frombuffer(r["v"], np.float64)
     return out.reshape(rows, columns)
 
@@ -358,22 +358,26 @@ class Model:
 
     def start(self, counts: np.ndarray):
         """Weights from counts: each feature alone would give its own distribution; they share the say."""
-        q = np.exp(self.classes.astype(np.float64))
-        inner = np.tile(np.repeat(np.exp(self.places.astype(np.float64)), CONTEXTS, axis=0), (PLACE_SETS, 1))
-        for part, q, share in ((slice(CLASS_ROWS), q, len(CLASS_BITS)), (slice(CLASS_ROWS, None), inner, PLACE_SETS)):
-            n = counts[part]
+        q = np.exp(self.classes.astype(np.float64))[None]
+        inner = np.exp(self.places.astype(np.float64))
+        parts = [(a, min(a + PART, CLASS_ROWS), q, len(CLASS_BITS)) for a in range(0, CLASS_ROWS, PART)]
+        for k in range(PLACE_SETS * CLASSES):
+            first, c = CLASS_ROWS + k * CONTEXTS, k % CLASSES
+            parts.append((first, first + CONTEXTS, inner[c : c + 1], PLACE_SETS))
+        for a, b, q, share in parts:
+            n = counts[a:b]
             seen = n.sum(1, keepdims=True)
             ratio = (n + SMOOTH * q) / ((seen + SMOOTH) * np.maximum(q, 1e-300))
-            self.weights[part] = np.clip(np.where(q > 0, np.log(np.maximum(ratio, 1e-9)) / share, 0), -BOUND, BOUND)
+            self.weights[a:b] = np.clip(np.where(q > 0, np.log(np.maximum(ratio, 1e-9)) / share, 0), -BOUND, BOUND)
         self.weights[:CLASS_ROWS, UNKNOWN] = 0
 
     def step(self, counts: np.ndarray, gradient: np.ndarray):
         """A step along the gradient, scaled by how often pairs were met and expected."""
-        expected = np.maximum(counts - gradient, 0)
-        move = STEP * gradient / ((counts + expected) / 2 + SMOOTH)
-        move[:CLASS_ROWS, UNKNOWN] = 0
-        self.weights += move.astype(np.float32)
-        np.clip(self.weights, -BOUND, BOUND, out=self.weights)
+        for a in range(0, ROWS, PART):
+            n, g = counts[a : a + PART], gradient[a : a + PART]
+            move = STEP * g / ((n + np.maximum(n - g, 0)) / 2 + SMOOTH)
+            self.weights[a : a + PART] = np.clip(self.weights[a : a + PART] + move, -BOUND, BOUND)
+        self.weights[:CLASS_ROWS, UNKNOWN] = 0
 
 
 def distribution(logit: np.ndarray, keep: bool) -> np.ndarray:
@@ -426,7 +430,7 @@ def fitted(train: DataFrame, vocabulary: Vocabulary, total_tokens: int, rounds:
     model.start(counts)
     for k in range(rounds):
         share = train.where(F.col("round") == k)
-        model.step(counts / rounds, added(share, tasks, model.gradient, ROWS, SLOTS))
+        model.step(counts / np.float32(rounds), added(share, tasks, model.gradient, ROWS, SLOTS))
     return model
 
 
