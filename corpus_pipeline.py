@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 
 from stopwise.llm.decontaminate import is_contaminated
 from stopwise.llm.mixing import mixed_documents
-from stopwise.llm.near_copies import near_copies
 from stopwise.llm.sharding import shard_documents
+from stopwise.llm.simhash import near_duplicates
 from stopwise.llm.tables import read, small_batches
 from stopwise.llm.toxicity import fit_toxicity, score_toxicity
 from stopwise.workspace import staged
@@ -25,11 +25,12 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest doc_id of every group linked by 5-word Jaccard similarities of
-    0.8 or more. Rows of one doc_id are one document and go or stay together; rows without a doc_id stay."""
+    """The document with the smallest doc_id of every component of operator 2: fingerprints that differ
+    in 2 or fewer bits are linked. Rows of one doc_id are one document and go or stay together: it stays
+    if any of them heads a component, so no text is lost. Rows without a doc_id stay."""
     small_batches(spark)
-    groups = near_copies(docs)
-    copies = groups.where("doc_id <> component_id").select("doc_id").distinct()
+    heads = F.max(F.col("doc_id") == F.col("component_id"))
+    copies = near_duplicates(docs).groupBy("doc_id").agg(heads.alias("heads")).where("NOT heads").select("doc_id")
     # written, so that its size decides how it meets the documents
     return docs.join(staged(copies, "copies"), "doc_id", "left_anti").select(*docs.columns)
 
