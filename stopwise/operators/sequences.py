@@ -3,14 +3,18 @@
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stopwise.operators.ordered import block_of
+from stopwise.operators.ordered import block_of, dealt, fits_one_block
 
 
 def route_sequences(df: DataFrame, features: list[str], rows: int = 4096) -> DataFrame:
     """Feature vectors, target minutes and populations of a route in walked order.
 
-    A row holds at most ``rows`` positions; a longer route goes on in the next ``chunk``.
+    A row holds at most ``rows`` positions; a longer route goes on in the next ``chunk``. If
+    none does, rows move once, by route, also for ``whole_routes``.
     """
+    if fits_one_block(df, "segment_position", rows):
+        own = ["route_id", "station_code", "segment_position", "travel_time_seconds", "is_depot_segment"]
+        df = dealt(df.select(*dict.fromkeys([*own, *features])), "route_id", (df,))
     vector = F.array(*[F.col(c).cast("double") for c in features])
     item = F.struct(
         F.col("segment_position").alias("position"),
