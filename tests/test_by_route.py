@@ -21,3 +21,9 @@ def test_route_tables_are_not_broadcast(spark, tmp_path):
         plan = plan_of(df)
         assert "SortMergeJoin" in plan and "Broadcast" not in plan, plan
     assert gold.assemble_route_table(routes, scores).where("score = other").count() == 200_000
+
+
+def test_few_routes_are_left_to_catalyst(spark):
+    routes = spark.range(100).selectExpr("concat('R', id) AS route_id")
+    assert joins.by_route(routes) is routes
+    assert joins.by_route(spark.range(1_000_000)) is not routes
